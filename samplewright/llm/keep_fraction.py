@@ -34,6 +34,11 @@ def scored_candidates(candidates: DataFrame) -> DataFrame:
     return rows.filter(F.col("s").isNotNull() & F.col("cat").isNotNull()).withColumnRenamed("candidate_id", "cid")
 
 
+def settled_candidates(candidates: DataFrame) -> DataFrame:
+    """The same, stored once for the passes that follow."""
+    return settle(scored_candidates(candidates), "p2-scored")
+
+
 def _targets(keep_targets: DataFrame) -> DataFrame:
     permille = F.least(F.col("keep_permille").cast("bigint"), F.lit(1000))
     return keep_targets.select(clean.category(F.col("category")).alias("cat"), permille.alias("permille")).filter("cat is not null and permille > 0").groupBy("cat").agg(F.max("permille").alias("permille"))

@@ -1,0 +1,78 @@
+"""Segment index over fixed-length strings for bounded edit distance.
+
+A 64-bit hash is a string of 64 binary digits. Strings of one length that are a bounded number of
+edits apart differ by substitutions only (TESTDATA.md counts differing bits), so a shared segment
+starts at the same position in both. The string is cut into ``segments`` pieces; after ``tau``
+substitutions at least ``segments - tau`` pieces are untouched, so the index stores every choice of
+that many pieces under its positions, and a probe looks up the same choices. This loses no pair.
+Longer keys make buckets small: 8 pieces of 8 bits give 28 keys of 16 bits a string.
+"""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+BITS, TAU, SEGMENTS = 64, 6, 8
+
+
+def _masks(segments: int) -> list[int]:
+    """Bit masks of the segments, as signed 64-bit numbers."""
+    ends = [BITS * i // segments for i in range(segments + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends, ends[1:], strict=False)]
+    return [m - (1 << BITS) if m >> 63 else m for m in masks]
+
+
+def index(values: DataFrame, column: str, segments: int = SEGMENTS, tau: int = TAU) -> DataFrame:
+    """``values`` once for each key: ``positions`` (which segments), ``segment`` (their content), ``before``.
+
+    ``before`` marks the segments ahead of the key's last one; see :func:`first_meeting`.
+    """
+    masks = _masks(segments)
+    keys = []
+    for chosen in combinations(range(segments), segments - tau):
+        mask = 0
+        for i in chosen:
+            mask |= masks[i]
+        keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("positions"), F.col(column).bitwiseAND(F.lit(mask)).alias("segment"), F.lit((1 << chosen[-1]) - 1).alias("before")))
+    return values.withColumn("__key", F.explode(F.array(*keys))).select(*values.columns, "__key.*")
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Number of differing bits."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def first_meeting(a: Column, b: Column, before: Column, segments: int = SEGMENTS, tau: int = TAU) -> Column:
+    """Whether the key at hand is the first of the keys two strings share, so each pair comes out once without a distinct."""
+    differ = a.bitwiseXOR(b)
+    same = F.lit(0)
+    for i, mask in enumerate(_masks(segments)):
+        same = same.bitwiseOR(F.when(differ.bitwiseAND(F.lit(mask)) == 0, 1 << i).otherwise(0))
+    return F.bit_count(same.bitwiseAND(before)) == segments - tau - 1
+
+
+def near_pairs(probe: DataFrame, stored: DataFrame, tau: int = TAU, segments: int = SEGMENTS) -> DataFrame:
+    """Pairs ``a, b, distance`` of a probed and a stored hash with 1 to ``tau`` differing bits.
+
+    Both sides are outputs of :func:`index` over distinct hashes in a column ``h``. Equal hashes
+    are one value and give no pair. AQE splits a bucket that many different hashes share.
+    """
+    left = probe.select(F.col("h").alias("a"), "positions", "segment", "before")
+    right = stored.select(F.col("h").alias("b"), "positions", "segment")
+    distance = hamming(F.col("a"), F.col("b"))
+    met = left.join(right, ["positions", "segment"]).filter(distance.between(1, tau) & first_meeting(F.col("a"), F.col("b"), F.col("before"), segments, tau))
+    return met.select("a", "b", distance.alias("distance"))
+
+
+def prefix_pairs(probe: DataFrame, stored: DataFrame, least: int = 16) -> DataFrame:
+    """Pairs ``a, b`` of different digests of which one begins with the other; columns ``d`` of distinct digests.
+
+    The first ``least`` digits are the segment that equal digests share.
+    """
+    left = probe.select(F.col("d").alias("a"), F.substring("d", 1, least).alias("segment"))
+    right = stored.select(F.col("d").alias("b"), F.substring("d", 1, least).alias("segment"))
+    a, b = F.col("a"), F.col("b")
+    return left.join(right, "segment").filter((a != b) & (a.startswith(b) | b.startswith(a))).select("a", "b")
