@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from samplewright.llm import band_topn, history_dedup, keep_fraction, percentile_sketch, split_overlap
+from samplewright.llm import band_topn, bpe, history_dedup, keep_fraction, packing, percentile_sketch, split_overlap
 from samplewright.llm.sql import SQL  # noqa: F401
 from samplewright.session import table as t
 
@@ -48,5 +48,18 @@ def p5_percentiles(spark, d):
     return percentile_sketch.percentiles(percentile_sketch.daily_sketches(runs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_decisions, p2_found, p2_cutoffs, p3_found, p3_report, p4_found, p5_found, p5_percentiles)}
+def p6_ids(spark, d):
+    return bpe.encode_corpus(t(spark, d, "documents"))
+
+
+def p7_packing(spark, d):
+    return packing.pack_documents(t(spark, d, "documents"))
+
+
+def p7_fill(spark, d):
+    placed = packing.pack_documents(t(spark, d, "documents")).groupBy("container_id").agg(F.sum("n_tokens").alias("used"))
+    return placed.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * packing.CAPACITY), 6).alias("fill"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_decisions, p2_found, p2_cutoffs, p3_found, p3_report, p4_found, p5_found, p5_percentiles, p6_ids, p7_packing, p7_fill)}
 
