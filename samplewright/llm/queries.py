@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from samplewright.llm import band_topn, bpe, history_dedup, keep_fraction, packing, percentile_sketch, split_overlap
+from samplewright.llm import band_topn, bpe, history_dedup, keep_fraction, packing, percentile_sketch, pii, split_overlap
 from samplewright.llm.sql import SQL  # noqa: F401
 from samplewright.session import table as t
 
@@ -61,5 +61,13 @@ def p7_fill(spark, d):
     return placed.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * packing.CAPACITY), 6).alias("fill"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_decisions, p2_found, p2_cutoffs, p3_found, p3_report, p4_found, p5_found, p5_percentiles, p6_ids, p7_packing, p7_fill)}
+def p8_found(spark, d):
+    return pii.find(t(spark, d, "documents"))
+
+
+def p8_redacted(spark, d):
+    return pii.redact(t(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_decisions, p2_found, p2_cutoffs, p3_found, p3_report, p4_found, p5_found, p5_percentiles, p6_ids, p7_packing, p7_fill, p8_found, p8_redacted)}
 
