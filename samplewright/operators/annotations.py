@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from samplewright.functions import geometry as g
+from samplewright.session import settle
 
 COCO_SCHEMA = """info STRUCT<description:STRING>, licenses ARRAY<STRING>, images ARRAY<STRUCT<id:BIGINT, file_name:STRING, width:INT, height:INT>>,
 annotations ARRAY<STRUCT<id:BIGINT, image_id:BIGINT, category_id:INT, bbox:ARRAY<DOUBLE>, area:DOUBLE, iscrowd:INT, segmentation:ARRAY<ARRAY<DOUBLE>>>>, categories ARRAY<STRUCT<id:INT, name:STRING>>"""
@@ -25,7 +26,7 @@ def from_coco(documents: DataFrame) -> DataFrame:
 
     A category id that the document does not declare becomes ``category_N``.
     """
-    documents = documents.withColumn("__doc", F.monotonically_increasing_id())
+    documents = settle(documents.withColumn("__doc", F.monotonically_increasing_id()), "coco")  # stored, so that all three parts see the same numbers
     images = documents.select("__doc", F.inline("images")).select("__doc", F.col("id").alias("image_id"), F.col("file_name").alias("image"), F.col("width").alias("image_width"), F.col("height").alias("image_height"))
     categories = documents.select("__doc", F.inline("categories")).select("__doc", F.col("id").alias("category_id"), F.col("name").alias("category"))
     rows = documents.select("__doc", F.inline("annotations"))
@@ -74,8 +75,6 @@ def running_number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     Rows are range partitioned; each partition numbers its own, and the sizes of the partitions before it are added.
     """
     ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    from samplewright.session import settle
-
     ranged = settle(ranged, "numbered")
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("first"))
     before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
