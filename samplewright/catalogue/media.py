@@ -158,3 +158,33 @@ SQL = {
     "mask_geometry": f"WITH {_PX} SELECT id, count(*) AS area, round(avg(k % 8), 6) AS cx, round(avg(k // 8), 6) AS cy, CAST(min(k % 8) AS INTEGER) AS x_min, CAST(min(k // 8) AS INTEGER) AS y_min, CAST(max(k % 8) + 1 AS INTEGER) AS x_max, CAST(max(k // 8) + 1 AS INTEGER) AS y_max FROM cell WHERE lit GROUP BY id",
     "mask_iou": f"WITH {_PX}, f AS (SELECT label, min(id) AS first FROM px GROUP BY label), j AS (SELECT c.id, c.lit AS a, o.lit AS b FROM cell c JOIN f USING (label) JOIN cell o ON o.id = f.first AND o.k = c.k) SELECT id, round(count(*) FILTER (a AND b) / count(*) FILTER (a OR b), 6) AS iou FROM j GROUP BY id",
 }
+
+
+def _scenes(spark, d):
+    """Synthetic 40 x 30 pictures: a graded background and one block whose place, size and colour come from an embedding."""
+    import numpy as np
+    import pandas as pd
+
+    def draw(batches):
+        for batch in batches:
+            out = []
+            for vector in batch["embedding"]:
+                v = np.abs(np.asarray(vector, dtype=float))
+                image = np.full((3, 30, 40), 0.45) + np.linspace(-0.04, 0.04, 30)[None, :, None]
+                x, y, w, h = 5 + int(v[0] * 40) % 15, 4 + int(v[1] * 40) % 10, 8 + int(v[2] * 40) % 8, 7 + int(v[3] * 40) % 6
+                image[:, y : y + h, x : x + w] = np.array([0.1, 0.85, 0.2])[:, None, None] + 0.1 * v[4:7, None, None]
+                out.append(np.round(np.clip(image, 0, 1) * 255).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"sample_id": batch["vec_id"].astype(str), "width": 40, "height": 30, "pixels": out})
+
+    return table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(draw, "sample_id string, width int, height int, pixels binary")
+
+
+def pipeline_decisions(spark, d):
+    """A whole job over synthetic pictures, by decision and reason."""
+    from samplewright.plans import pipeline, recipe
+
+    job = pipeline.run(_scenes(spark, d), recipe.load({"name": "demo", "seed": 11, "dataset": {"path": "."}, "target": {"classes": ["object"], "max_per_sample": 1}, "replacement": {"values": ["sedan", "taxi"], "candidates_per_object": 2}, "quality": {"minimum_overall": 0.5, "hard_gates": {"geometry": 0.9}}}))
+    return job["decided"].select("candidate_id", "category", "overall", "decision", F.concat_ws(",", "reason_codes").alias("codes"))
+
+
+QUERIES["pipeline_decisions"] = pipeline_decisions
