@@ -14,9 +14,9 @@ WITH = f"WITH {DETECTIONS_SQL}"
 
 def _labels(spark, d):
     """Detections as labels of images, with part types as categories."""
-    named = table(spark, d, "lineitem").select(F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)").alias("object_id"), "l_partkey").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category")), "l_partkey").drop("l_partkey")
+    types = table(spark, d, "part").select(F.col("p_partkey").alias("part_key"), F.col("p_type").alias("category"))
     det = detections(spark, d).withColumn("image", F.format_string("img_%08d.png", "sample_id"))
-    return det.join(named, "object_id").withColumns({"iscrowd": F.lit(0), "polygon": F.lit(None).cast("array<double>"), "area": F.col("area").cast("double")})
+    return det.join(types, "part_key").withColumns({"iscrowd": F.lit(0), "polygon": F.lit(None).cast("array<double>"), "area": F.col("area").cast("double")})
 
 
 def category_vocabulary(spark, d):
@@ -80,7 +80,7 @@ def annotation_rebuild(spark, d):
     return annotations.rebuild(source.drop("class_name", "score"), produced).groupBy("image").agg(F.count("*").alias("labels"), F.count_if(F.col("origin") == "inherited").alias("inherited"))
 
 
-_LABELS = f"{WITH}, lab AS (SELECT det.*, format('img_{{:08d}}.png', sample_id) AS image, p_type AS category FROM det JOIN (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS object_id, l_partkey FROM lineitem) USING (object_id) JOIN part ON p_partkey = l_partkey), voc AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS category_id FROM (SELECT DISTINCT category FROM lab))"
+_LABELS = f"{WITH}, lab AS (SELECT det.*, format('img_{{:08d}}.png', sample_id) AS image, p_type AS category FROM det JOIN part ON p_partkey = part_key), voc AS (SELECT category, CAST(row_number() OVER (ORDER BY category) - 1 AS INTEGER) AS category_id FROM (SELECT DISTINCT category FROM lab))"
 _OUT = "x_min < 0 OR y_min < 0 OR x_max > image_width OR y_max > image_height"
 _CON = f"{WITH}, r AS (SELECT * REPLACE (CASE WHEN sample_id % 11 <> 0 THEN x_min END AS x_min), CASE WHEN score < 0.65 THEN 0 ELSE area END AS mask_area, CASE WHEN class_name = 'N' THEN 2 ELSE 4 END AS points, score > 0.7 AS matched FROM det), f AS (SELECT *, x_min IS NULL AS nobox, coalesce({_OUT}, false) AS outside, mask_area <= 0 AS empty, mask_area > 0 AND mask_area < 1000 AS small, points < 3 OR NOT matched AS mis FROM r), v AS (SELECT *, CASE WHEN nobox THEN 0.0::DOUBLE ELSE round(greatest(1 - CASE WHEN outside THEN 0.5::DOUBLE ELSE 0 END - CASE WHEN empty THEN 1.0::DOUBLE ELSE 0 END - CASE WHEN small THEN 0.4::DOUBLE ELSE 0 END - CASE WHEN mis THEN 0.3::DOUBLE ELSE 0 END, 0), 6) END AS annotation_consistency FROM f)"
 FUNCTIONS = [category_vocabulary, category_vocabulary_extended, category_rebase, coco_annotations, coco_round_trip, yolo_lines, annotation_structural_check, annotation_consistency, annotation_rebuild]

@@ -11,7 +11,7 @@ from samplewright.session import table
 
 KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
-DETECTIONS_SQL = f"""det AS (SELECT l_orderkey AS sample_id, {KEY} AS object_id, l_returnflag AS class_name,
+DETECTIONS_SQL = f"""det AS (SELECT l_orderkey AS sample_id, {KEY} AS object_id, l_returnflag AS class_name, l_partkey AS part_key,
   round(1 - l_discount * 4, 4) AS score, CAST(l_partkey % 600 AS DOUBLE) AS x_min, CAST(l_suppkey % 400 AS DOUBLE) AS y_min,
   CAST(l_partkey % 600 + 8 + l_quantity * 4 AS DOUBLE) AS x_max, CAST(l_suppkey % 400 + 8 + (l_partkey % 50) * 4 AS DOUBLE) AS y_max,
   CAST((8 + l_quantity * 4) * (8 + (l_partkey % 50) * 4) AS BIGINT) AS area, 800.0::DOUBLE AS image_width, 600.0::DOUBLE AS image_height FROM lineitem)"""

@@ -56,7 +56,7 @@ def read_yolo(spark: SparkSession, folder: str) -> DataFrame:
 
         listed = yaml.safe_load("\n".join(r["value"] for r in spark.read.text(f"{folder}/data.yaml").collect())).get("names", [])
         names = [listed[k] for k in sorted(listed)] if isinstance(listed, dict) else list(listed)
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("wholetext", "true").text(folder).withColumn("path", F.input_file_name()).filter(~F.col("path").endswith("classes.txt"))
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True).withColumn("path", F.input_file_name()).filter(~F.col("path").endswith("classes.txt"))
     lines = lines.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no") + 1)
     return annotations.from_yolo_lines(lines, names)
 
