@@ -41,7 +41,8 @@ def settled_candidates(candidates: DataFrame) -> DataFrame:
 
 def _targets(keep_targets: DataFrame) -> DataFrame:
     permille = F.least(F.col("keep_permille").cast("bigint"), F.lit(1000))
-    return keep_targets.select(clean.category(F.col("category")).alias("cat"), permille.alias("permille")).filter("cat is not null and permille > 0").groupBy("cat").agg(F.max("permille").alias("permille"))
+    # Nulls go first: least() would read them as 1000.
+    return keep_targets.filter("keep_permille > 0").select(clean.category(F.col("category")).alias("cat"), permille.alias("permille")).filter("cat is not null").groupBy("cat").agg(F.max("permille").alias("permille"))
 
 
 def _grid(inside: DataFrame) -> DataFrame:
