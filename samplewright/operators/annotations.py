@@ -48,9 +48,9 @@ def vocabulary(labels: DataFrame, declared: DataFrame | None = None) -> DataFram
     names = labels.select("category").distinct()
     if declared is None:
         return names.withColumn("category_id", (F.row_number().over(W.orderBy("category")) - 1).cast("int"))
-    top = declared.agg(F.coalesce(F.max("category_id"), F.lit(-1)).alias("top"))
-    new = names.join(declared, "category", "left_anti").crossJoin(F.broadcast(top))  # one row
-    new = new.select("category", (F.col("top") + F.row_number().over(W.orderBy("category"))).cast("int").alias("category_id"))
+    top = declared.agg(F.coalesce(F.max("category_id"), F.lit(-1))).first()[0]
+    new = names.join(declared, "category", "left_anti")
+    new = new.select("category", (F.lit(top) + F.row_number().over(W.orderBy("category"))).cast("int").alias("category_id"))
     return declared.select("category", "category_id").unionByName(new)
 
 

@@ -29,6 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
     cluster the setting is required, because a machine-local folder dies with its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:  # set on the context by setCheckpointDir
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = known.get() if known.isDefined() else None
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
