@@ -188,3 +188,25 @@ def pipeline_decisions(spark, d):
 
 
 QUERIES["pipeline_decisions"] = pipeline_decisions
+
+
+def segment_targets(spark, d):
+    """Detections of the synthetic pictures, segmented again from their boxes, with simplified outlines."""
+    from samplewright.operators import backends
+
+    scenes = _scenes(spark, d).withColumn("class_name", F.lit("object"))
+    found = backends.call(scenes, backends.SALIENCY).withColumn("object_id", F.concat(F.lit("o"), "sample_id"))
+    boxes = found.select("sample_id", "object_id", "x_min", "y_min", "x_max", "y_max").join(scenes.drop("class_name"), "sample_id")
+    return backends.call(boxes, backends.SEGMENTER).select("object_id", "area", (F.size("polygon") / 2).cast("int").alias("points"), "error_code")
+
+
+def scene_analysis(spark, d):
+    """Light, contrast and background of the synthetic pictures around their object."""
+    from samplewright.operators import backends
+
+    scenes = _scenes(spark, d).withColumn("class_name", F.lit("object"))
+    found = backends.call(scenes, backends.SALIENCY).withColumn("object_id", F.concat(F.lit("o"), "sample_id")).select("sample_id", "object_id", "mask")
+    return backends.call(found.join(scenes, "sample_id"), backends.SCENE)
+
+
+QUERIES |= {"segment_targets": segment_targets, "scene_analysis": scene_analysis}

@@ -186,6 +186,57 @@ def movement(source: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def outline(mask: np.ndarray) -> np.ndarray:
+    """Corner points of the outer ring of a mask's first part, in order around it, as ``x, y`` on the pixel grid.
+
+    The ring is walked along the edges between inside and outside, always keeping the inside on the right.
+    """
+    h, w = mask.shape
+    inside = np.pad(mask, 1)
+    if not mask.any():
+        return np.empty((0, 2), int)
+    y0, x0 = np.argwhere(mask)[0]
+    # Directions: right, down, left, up; the pixel to the right and to the left of each step, from the corner (x, y).
+    steps = ((1, 0), (0, 1), (-1, 0), (0, -1))
+    right = ((0, 0), (-1, 0), (-1, -1), (0, -1))
+    left = ((0, -1), (0, 0), (-1, 0), (-1, -1))
+    at = lambda x, y, d: inside[y + d[1] + 1, x + d[0] + 1]
+    x, y, d = int(x0), int(y0), 0
+    ring = []
+    while True:
+        ring.append((x, y))
+        x, y = x + steps[d][0], y + steps[d][1]
+        while at(x, y, right[d]) and not at(x, y, left[d]) and (x, y) != (int(x0), int(y0)):
+            x, y = x + steps[d][0], y + steps[d][1]
+        if (x, y) == (int(x0), int(y0)):
+            return np.array(ring)
+        d = (d + 1) % 4 if not at(x, y, right[d]) else (d + 3) % 4
+
+
+def simplify(ring: np.ndarray, tolerance: float = 1.0) -> np.ndarray:
+    """The points of a ring from which it strays by more than ``tolerance`` otherwise (Douglas-Peucker on both halves)."""
+    if len(ring) < 4:
+        return ring
+    far = int(np.abs(ring - ring[0]).sum(1).argmax())
+    closed = np.concatenate([ring, ring[:1]])
+    keep = np.zeros(len(closed), bool)
+    keep[[0, far, len(ring)]] = True
+    todo = [(0, far), (far, len(ring))]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        p, q = closed[a].astype(float), closed[b].astype(float)
+        v, rel = q - p, closed[a + 1 : b] - p
+        length = np.hypot(*v)
+        away = np.abs(v[0] * rel[:, 1] - v[1] * rel[:, 0]) / length if length else np.hypot(rel[:, 0], rel[:, 1])
+        k = int(away.argmax())
+        if away[k] > tolerance:
+            keep[a + 1 + k] = True
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return closed[:-1][keep[:-1]]
+
+
 def _nearest(images: np.ndarray, size: int) -> np.ndarray:
     h, w = images.shape[-2:]
     at = lambda n: np.clip((np.arange(size) + 0.5) * n / size, 0, n - 1).astype(int)

@@ -49,11 +49,17 @@ def transitions(events: DataFrame) -> DataFrame:
     return events.withColumn("from_state", F.lag("state").over(W.partitionBy("candidate_id").orderBy("seq"))).filter("from_state is null or from_state <> state")
 
 
-def track_gaps(observations: DataFrame) -> DataFrame:
-    """``track_id, first_missing, last_missing`` of frame ranges without an observation, from rows ``track_id, frame``."""
-    before = F.lag("frame").over(W.partitionBy("track_id").orderBy("frame"))
-    steps = observations.select("track_id", "frame").distinct().withColumn("before", before)
-    return steps.filter("frame - before > 1").select("track_id", (F.col("before") + 1).alias("first_missing"), (F.col("frame") - 1).alias("last_missing"))
+def track_gaps(observations: DataFrame, block: int = 100_000) -> DataFrame:
+    """``track_id, first_missing, last_missing`` of frame ranges without an observation, from rows ``track_id, frame``.
+
+    Frames are looked at in blocks, and then only the blocks' ends, so a track with a third of all rows is not sorted in one task.
+    """
+    seen = observations.filter("track_id is not null and frame is not null").select("track_id", "frame", F.floor(F.col("frame") / block).alias("__b")).distinct()
+    inside = W.partitionBy("track_id", "__b").orderBy("frame")
+    steps = seen.select("track_id", F.lag("frame").over(inside).alias("before"), "frame")
+    ends = seen.groupBy("track_id", "__b").agg(F.min("frame").alias("first"), F.max("frame").alias("last"))
+    between = ends.select("track_id", F.lag("last").over(W.partitionBy("track_id").orderBy("__b")).alias("before"), F.col("first").alias("frame"))
+    return steps.unionByName(between).filter("frame - before > 1").select("track_id", (F.col("before") + 1).alias("first_missing"), (F.col("frame") - 1).alias("last_missing"))
 
 
 def track_continuity(observations: DataFrame) -> DataFrame:
