@@ -31,9 +31,9 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 #: Characters a window decides, and context on either side of them.
-CORE, MARGIN = 144, 24
+CORE, MARGIN = 208, 32
 #: Windows evaluated together, and characters taken at once, by one Python worker.
-WINDOWS, CHARS = 1024, 600_000
+WINDOWS, CHARS = 512, 600_000
 PAD, LINE, SPACE, SYMBOL, LETTER, HAN, STOP = range(7)
 FIRST_ASCII, FIRST_HAN = 7, 7 + 94
 
@@ -86,34 +86,35 @@ class Tagger:
     def __init__(self, weights: dict[str, np.ndarray]) -> None:
         self.table = code_table(str(weights["han"]))
         size = weights["u_f"].shape[0]
-        # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2: with the gate columns halved, one tanh serves all four gates.
+        # sigmoid(x) = (tanh(x / 2) + 1) / 2: with the gate columns halved, one tanh serves all four gates. States are kept
+        # at twice their value, which the halved recurrent and output weights take back.
         half = np.r_[np.full(3 * size, 0.5), np.ones(size)].astype(np.float32)
         self.size = size
         self.input = {d: np.ascontiguousarray((weights["e"] @ weights[f"w_{d}"] + weights[f"b_{d}"]) * half) for d in "fb"}
-        self.recurrent = {d: np.ascontiguousarray(weights[f"u_{d}"] * half) for d in "fb"}
-        self.out, self.bias = weights["o"], weights["c"]
+        self.recurrent = {d: np.ascontiguousarray(weights[f"u_{d}"] * half * np.float32(0.5)) for d in "fb"}
+        self.out, self.bias = weights["o"] * np.float32(0.5), weights["c"]
         self.step = np.where(allowed(), weights["t"], np.float32(-1e4)).astype(np.float32)
         self.first = weights["s"]
 
     def _run(self, codes: np.ndarray, d: str) -> Iterator[tuple[int, np.ndarray]]:
-        """Hidden states of one direction, step by step; ``codes`` is time by window."""
+        """Twice the hidden states of one direction, step by step; ``codes`` is time by window."""
         size, table, u = self.size, self.input[d], self.recurrent[d]
         h = np.zeros((codes.shape[1], size), np.float32)
-        c = np.zeros_like(h)
+        c, product = np.zeros_like(h), np.empty_like(h)
         z = np.empty((codes.shape[1], 4 * size), np.float32)
         x = np.empty_like(z)
+        gates = z[:, : 3 * size]
+        take, keep, give, new = (z[:, k * size : (k + 1) * size] for k in range(4))
         for t in range(len(codes)) if d == "f" else range(len(codes) - 1, -1, -1):
             np.matmul(h, u, out=z)
-            np.take(table, codes[t], axis=0, out=x)
+            np.take(table, codes[t], axis=0, out=x, mode="clip")
             z += x
             np.tanh(z, out=z)
-            gates = z[:, : 3 * size]
-            gates *= 0.5
-            gates += 0.5
-            c *= z[:, size : 2 * size]
-            c += z[:, :size] * z[:, 3 * size :]
-            h = np.tanh(c)
-            h *= z[:, 2 * size : 3 * size]
+            gates += 1
+            c *= keep
+            c += np.multiply(take, new, out=product)
+            c *= 0.5
+            np.multiply(give, np.tanh(c, out=product), out=h)
             yield t, h
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
@@ -128,51 +129,61 @@ class Tagger:
     def decode(self, scores: np.ndarray) -> np.ndarray:
         """Best tags of each window, time by window.
 
-        A window in which no tag's lead over O pays for the best transition is O throughout, which is exact, and is not decoded.
+        A window in which even the best run of other tags, each step at its best lead over O, gains nothing on O is O
+        throughout, which is exact, and is not decoded.
         """
         tags = np.zeros(scores.shape[:2], np.int8)
-        gain = max(0.0, float((self.step - self.step[0, 0])[allowed()].max()))
-        lead = (scores[..., 1:].max(-1) - scores[..., 0]).max(0) + 2 * gain + max(0.0, float((self.first - self.first[0]).max()))
-        todo = np.flatnonzero(lead > 0)
+        over = self.step - self.step[0, 0]
+        enter, leave, inner = over[0, 1:].max(), over[1:, 0].max(), over[1:, 1:].max()
+        lead = scores[..., 1:].max(-1) - scores[..., 0]
+        run = (scores[0, :, 1:] - scores[0, :, :1] + self.first[1:] - self.first[0]).max(-1)
+        worst = run + leave
+        for t in range(1, len(scores)):
+            run = np.maximum(run + inner, enter) + lead[t]
+            np.maximum(worst, run + (leave if t < len(scores) - 1 else 0), out=worst)
+        todo = np.flatnonzero(worst > 0)
         if not len(todo):
             return tags
-        scores = scores[:, todo]
-        best = scores[0] + self.first
-        back = np.empty(scores.shape, np.int8)
+        scores = np.ascontiguousarray(scores[:, todo].transpose(0, 2, 1))  # time, tag, window
+        best = scores[0] + self.first[:, None]
+        back = np.zeros(scores.shape, np.int8)
         for t in range(1, len(scores)):
-            paths = best[:, :, None] + self.step
-            back[t] = paths.argmax(1)
-            best = np.take_along_axis(paths, back[t][:, None, :].astype(np.intp), 1)[:, 0] + scores[t]
-        at = best.argmax(-1)
+            top = best[0] + self.step[0][:, None]
+            for i in range(1, len(TAGS)):
+                path = best[i] + self.step[i][:, None]
+                back[t][path > top] = i
+                np.maximum(top, path, out=top)
+            best = top + scores[t]
+        at = best.argmax(0)
         rows = np.arange(len(todo))
         for t in range(len(scores) - 1, -1, -1):
             tags[t, todo] = at
-            at = back[t, rows, at].astype(np.intp) if t else at
+            at = back[t, at, rows]
         return tags
 
     def tag(self, texts: list[str]) -> list[np.ndarray]:
         """A tag for every code point of every text."""
         codes = [self.table[points(x)] for x in texts]
-        starts, of, width = [], [], MARGIN + CORE + MARGIN
         begin, total = [], MARGIN
-        for i, c in enumerate(codes):
+        for c in codes:
             begin.append(total)
-            for s in range(0, len(c), CORE):
-                starts.append(total + s - MARGIN)
-                of.append((i, s))
-            total += len(c) + width
-        flat = np.zeros(total + width, np.uint16)
+            total += len(c) + MARGIN
+        flat = np.zeros(total + MARGIN + CORE, np.uint16)
         for b, c in zip(begin, codes, strict=True):
             flat[b : b + len(c)] = c
+        # Windows of like length are evaluated together, so the short rest of a text is not padded to a whole window.
+        windows = sorted((min(CORE, len(c) - s), i, s) for i, c in enumerate(codes) for s in range(0, len(c), CORE))
         out = [np.zeros(len(c), np.int8) for c in codes]
-        starts = np.array(starts, np.int64)
-        for a in range(0, len(starts), WINDOWS):
-            window = flat[starts[a : a + WINDOWS] + np.arange(width)[:, None]]
-            tags = self.decode(self.emissions(window))[MARGIN : MARGIN + CORE]
+        for a in range(0, len(windows), WINDOWS):
+            batch = windows[a : a + WINDOWS]
+            starts = np.array([begin[i] + s - MARGIN for _, i, s in batch])
+            window = flat[starts + np.arange(batch[-1][0] + 2 * MARGIN)[:, None]]
+            # A shorter window of the batch may reach into the next text, which it must not read.
+            window[np.arange(len(window))[:, None] >= np.array([begin[i] + len(codes[i]) + MARGIN for _, i, _ in batch]) - starts] = PAD
+            tags = self.decode(self.emissions(window))[MARGIN:-MARGIN]
             for w in np.flatnonzero(tags.any(0)):
-                i, s = of[a + w]
-                piece = tags[: len(codes[i]) - s, w]
-                out[i][s : s + len(piece)] = piece
+                size, i, s = batch[w]
+                out[i][s : s + size] = tags[:size, w]
         return out
 
 
