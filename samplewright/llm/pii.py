@@ -216,6 +216,9 @@ _TOKEN = {
 _DIALLED = re.compile(r"[+(]{0,2}\d[\d\s().\-/]*\d(?:\s?(?:ext|x|Durchwahl)\.?\s?\d+)?", re.IGNORECASE)
 _EDGE = " \t\r\n 　,;:!?\"'“”„‘’«»<>|=，。；：、！？“”"
 _NEAR = 12
+#: A street number and name up to the kind of street, where a word follows without a comma; and a whole name before initials and another surname.
+_STREET = re.compile(r"(?:Flat\s\d+,\s)?\d+\s\S+\s(?:Street|St\.|Road|Rd\.|Avenue|Ave|Lane|Close|Terrace|Drive|Blvd|Way|Court)(?=\s[^\W\d])")
+_TWO_NAMES = re.compile(r"([^\W\d][\w'’-]+\s[^\W\d][\w'’-]+)\s((?:[^\W\d]\.\s?)+[^\W\d][\w'’-]+)")
 
 
 def _digits(text: str) -> int:
@@ -288,6 +291,8 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
         return (start, end) if (7 if kind == "phone" else 5) <= number <= 20 else None
     start, end = _word_ends(text, start, end)
     if kind == "address":
+        if street := _STREET.match(text, start, end):
+            end = street.end()
         while end > start and text[end - 1] in ".-(" and not re.search(r"\b(?:St|Rd|Str|Ave|Blvd)\.$", text[start:end], re.IGNORECASE):
             end -= 1
         if end < len(text) and text[end] == "." and re.search(r"\b(?:St|Rd)$", text[start:end]):
@@ -299,13 +304,23 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
     return (start, end) if len(words) >= 2 and max(map(len, words)) >= 2 and not _digits(text[start:end]) else None
 
 
+def _apart(text: str, found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Two names side by side without a mark between them, taken as one, come out as two."""
+    for start, end, kind in found:
+        two = _TWO_NAMES.fullmatch(text, start, end) if kind == "person" else None
+        if two:
+            yield from ((*two.span(1), kind), (*two.span(2), kind))
+        else:
+            yield start, end, kind
+
+
 def places(texts: list[str | None], model: Tagger | None = None) -> list[list[tuple[int, int, str]]]:
     """Checked places ``(start, end, kind)`` of each text, in order and apart from each other."""
     model = model or tagger()
     found = []
     for text, tags in zip(texts, model.tag([t or "" for t in texts]), strict=True):
         own: list[tuple[int, int, str]] = []
-        for start, end, kind in runs(tags) if text else ():
+        for start, end, kind in _apart(text, runs(tags)) if text else ():
             exact = check(text, start, end, kind)
             if exact and (not own or exact[0] >= own[-1][1]):
                 own.append((*exact, kind))
