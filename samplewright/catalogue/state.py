@@ -79,11 +79,34 @@ def plan_nodes_per_sample(spark, d):
     return runs.groupBy("job_id").agg(F.countDistinct("sample").alias("samples"), F.count("*").alias("ran")).withColumn("reserved", F.col("samples") * plan.nodes_per_sample)
 
 
-FUNCTIONS = [current_node_runs, job_counters, stage_status_counts, candidate_state_counts, resume_pending, cache_statistics, cache_keys, table_counts, event_log_counts, candidate_transitions, state_upsert, newest_jobs, plan_estimate, plan_nodes_per_sample]
+def sample_outcome_counters(spark, d):
+    """Candidates of each sample by state, and the share accepted."""
+    count = lambda v: F.count_if(F.col("state") == v)
+    current = table(spark, d, "candidates").groupBy("candidate_id").agg(F.max_by(F.struct("sample_id", "state"), "updated_at").alias("c")).select("c.*")
+    return current.groupBy("sample_id").agg(F.count("*").alias("n"), *[count(v).alias(v) for v in ("accepted", "review", "rejected", "generated")], F.round(count("accepted") / F.count("*"), 4).alias("rate"))
+
+
+def top_reasons(spark, d):
+    """The five most frequent reason codes, ties by name."""
+    codes = table(spark, d, "candidates").select(F.explode(F.from_json("reason_codes", "array<string>")).alias("reason_code"))
+    return codes.groupBy("reason_code").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "reason_code").limit(5)
+
+
+def operator_durations(spark, d):
+    """Known durations of each operator: runs, their sum (null if none is known), the longest."""
+    return table(spark, d, "node_runs").groupBy("operator").agg(F.count("duration_ms").alias("n"), F.sum("duration_ms").alias("total_ms"), F.max("duration_ms").alias("longest_ms"))
+
+
+FUNCTIONS = [sample_outcome_counters, top_reasons, operator_durations, current_node_runs, job_counters, stage_status_counts, candidate_state_counts, resume_pending, cache_statistics, cache_keys, table_counts, event_log_counts, candidate_transitions, state_upsert, newest_jobs, plan_estimate, plan_nodes_per_sample]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 _LATEST = "cur AS (SELECT * FROM (SELECT DISTINCT * FROM node_runs) QUALIFY row_number() OVER (PARTITION BY job_id, node_id ORDER BY attempt DESC) = 1)"
 _UNITS = ", ".join(f"('{k}', {s}::DOUBLE, {c}::DOUBLE)" for k, (s, c) in stages.UNIT_ESTIMATES.items())
 SQL = {
+    "sample_outcome_counters": """WITH cur AS (SELECT sample_id, state FROM candidates WHERE candidate_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY updated_at DESC) = 1)
+SELECT sample_id, count(*) AS n, count(*) FILTER (state = 'accepted') AS accepted, count(*) FILTER (state = 'review') AS review, count(*) FILTER (state = 'rejected') AS rejected, count(*) FILTER (state = 'generated') AS generated,
+  round(count(*) FILTER (state = 'accepted') / count(*), 4) AS rate FROM cur GROUP BY sample_id""",
+    "top_reasons": "SELECT code AS reason_code, count(*) AS n FROM (SELECT unnest(from_json(reason_codes, '[\"VARCHAR\"]')) AS code FROM candidates) GROUP BY code ORDER BY n DESC, code LIMIT 5",
+    "operator_durations": "SELECT operator, count(duration_ms) AS n, CAST(sum(duration_ms) AS BIGINT) AS total_ms, max(duration_ms) AS longest_ms FROM node_runs GROUP BY operator",
     "current_node_runs": f"WITH {_LATEST} SELECT job_id, node_id, attempt, status, duration_ms FROM cur",
     "job_counters": f"""WITH {_LATEST} SELECT job_id, count(*) AS nodes, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
   count(*) FILTER (status = 'cancelled') AS cancelled, count(*) FILTER (cache_hit = 1) AS cache_hits, CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM cur GROUP BY job_id""",

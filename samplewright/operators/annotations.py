@@ -105,17 +105,18 @@ def from_yolo_lines(lines: DataFrame, names: list[str]) -> DataFrame:
     return out.select("path", "line_no", "class_index", F.coalesce(F.when(F.col("class_index") >= 0, known), F.concat(F.lit("class_"), "class_index")).alias("category"), F.when(F.col("__n") == 5, "box").otherwise("polygon").alias("kind"), "coords", bad.alias("error"))
 
 
-def rebuild(source: DataFrame, regenerated: DataFrame, least_iou: float = 0.5) -> DataFrame:
+def rebuild(source: DataFrame, regenerated: DataFrame, least_iou: float = 0.5, covered: Column | None = None) -> DataFrame:
     """Labels of a produced image: what it inherits from its source and the regenerated target.
 
     ``regenerated`` holds ``image, source_image, object_id, category, x_min .. y_max, area, iscrowd, polygon, found`` and the replaced box ``r_x_min ..``. The replaced
-    object is found by IoU, since detectors number objects differently; inherited labels whose box lies whole in the new one drop out, and an object that was
-    not found leaves no label at all.
+    object is found by IoU, since detectors number objects differently; inherited labels that the new object covers drop out (by default, whose box lies whole in the new one; ``covered`` may test its mask, see
+    :func:`samplewright.operators.raster.covered`), and an object that was not found leaves no label at all.
     """
     present = regenerated.filter("found")
     inherited = source.withColumnRenamed("image", "source_image").join(present.select("image", "source_image", *[F.col(e).alias(f"n_{e}") for e in g.EDGES], *[f"r_{e}" for e in g.EDGES]), "source_image")
     own, new, replaced = g.box(), g.box("n_"), g.box("r_")
-    covered = (own["x_min"] >= new["x_min"]) & (own["y_min"] >= new["y_min"]) & (own["x_max"] <= new["x_max"]) & (own["y_max"] <= new["y_max"])
+    if covered is None:
+        covered = (own["x_min"] >= new["x_min"]) & (own["y_min"] >= new["y_min"]) & (own["x_max"] <= new["x_max"]) & (own["y_max"] <= new["y_max"])
     kept = inherited.filter(~covered & (g.iou(own, replaced) < least_iou)).withColumn("origin", F.lit("inherited"))
     columns = ["image", "object_id", "category", *g.EDGES, "area", "iscrowd", "polygon", "origin"]
     return kept.select(*columns).unionByName(present.withColumn("origin", F.lit("regenerated")).select(*columns))

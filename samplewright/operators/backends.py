@@ -7,7 +7,6 @@ marked as demo and refused for production by :mod:`samplewright.plans.guard`.
 
 from __future__ import annotations
 
-import hashlib
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -17,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samplewright.functions.seeds import derive
 from samplewright.operators import raster
 from samplewright.session import settle
 
@@ -242,14 +242,9 @@ def _scene(rows: pd.DataFrame, h: int, w: int) -> pd.DataFrame:
 SCENE = Backend("builtin_scene", ("scene.analysis.v1",), _each_shape(_scene), "sample_id string, object_id string, luminance double, contrast double, light_direction double, coverage double, background string")
 
 
-def seed_of(*labels: object) -> int:
-    """A reproducible seed from a path of labels."""
-    return int.from_bytes(hashlib.blake2b("\0".join(map(str, labels)).encode(), digest_size=8, person=b"smplwrght").digest(), "big") >> 1
-
-
 def category_colour(category: str) -> np.ndarray:
     """The colour that stands for a category in generated samples."""
-    return np.random.default_rng(seed_of("colour", category)).uniform(0.15, 0.9, 3)
+    return np.random.default_rng(derive(0, "colour", category)).uniform(0.15, 0.9, 3)
 
 
 def _generate(rows: pd.DataFrame, h: int, w: int) -> pd.DataFrame:

@@ -292,6 +292,20 @@ def hashes(images: DataFrame) -> DataFrame:
     return images.select("id", "width", "height", "pixels").mapInPandas(by_shape(kernel, ["id"]), f"id {kind}, ahash bigint, dhash bigint, phash bigint")
 
 
+def covered(mask: str, width: str, height: str, x_min: str, y_min: str, x_max: str, y_max: str) -> Column:
+    """Whether every pixel of a box's whole-pixel window is in the mask; an empty window is not."""
+
+    def run(m: pd.Series, w: pd.Series, h: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        out = []
+        for bits, wide, high, *box in zip(m, w, h, a, b, c, d, strict=True):
+            x0, y0, x1, y1 = (max(0, int(v)) for v in box)
+            window = np.frombuffer(bits, np.uint8).reshape(high, wide)[y0:y1, x0:x1]
+            out.append(bool(window.size and window.all()))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "boolean")(mask, width, height, x_min, y_min, x_max, y_max)
+
+
 MEASURES = ("ssim", "changed_ratio", "mean_delta", "perceptual_delta", "seam", "gradient_gap", "interior_area", "component_ratio", "floating", "edge_density", "text_like", "centroid_shift", "area_ratio", "aspect_delta", "contact_shift", "mask_iou", "coverage")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from samplewright.functions import geometry as g
+from samplewright.functions.seeds import derive
 
 
 @dataclass(frozen=True)
@@ -46,12 +46,6 @@ def _json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-def derived_seed(parent: int, *labels: object) -> int:
-    """A child seed that cannot be guessed from its siblings (keyed BLAKE2b, this engine's own key)."""
-    material = "\0".join(map(str, (parent, *labels))).encode()
-    return int.from_bytes(hashlib.blake2b(material, digest_size=8, person=b"smplwrght").digest(), "big") >> 1
-
-
 VARIANT = T.StructType([T.StructField("ordinal", T.LongType()), T.StructField("fingerprint", T.MapType(T.StringType(), T.StringType()))])
 
 
@@ -76,7 +70,7 @@ def variants(spark: SparkSession, spec: Spec) -> DataFrame:
         made = [(0, {})] + [(i + 1, {axis: value}) for i, (axis, value) in enumerate((o.axis, v) for o, c in zip(spec.operators, choices, strict=True) for v in c)]
         return _finish(spark.createDataFrame(made[: spec.max_variants], VARIANT), spec)
     if spec.strategy == "random":
-        made = [(i, {o.axis: c[derived_seed(spec.seed, "variant", i, o.axis) % len(c)] for o, c in zip(spec.operators, choices, strict=True)}) for i in range(spec.max_variants)]
+        made = [(i, {o.axis: c[derive(spec.seed, "variant", i, o.axis) % len(c)] for o, c in zip(spec.operators, choices, strict=True)}) for i in range(spec.max_variants)]
         return _finish(spark.createDataFrame(made, VARIANT), spec)
     total = 1
     for c in choices:

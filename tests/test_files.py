@@ -197,4 +197,35 @@ def test_video_golden_facts(spark):
     assert video.variants(spark, video.Spec("s", 7, "full-factorial", 9, 1, ops)).count() == 0
     t = video.label_transform("reframe", {"source_aspect": 2.0, "aspect": 1.0})
     assert (t["w"], t["h"], t["y"]) == (1.0, 0.5, 0.25)
-    assert video.derived_seed(1, "a") != video.derived_seed(1, "b") and 0 <= video.derived_seed(1, "a") < 2**63
+
+
+def test_seeds_colours_and_registry(spark):
+    import colorsys
+
+    from samplewright.functions import colour, seeds
+    from samplewright.plans.registry import Operators
+
+    assert seeds.derive(1, "a") != seeds.derive(1, "b") and 0 <= seeds.derive(1, "a") < 2**63
+    got = spark.createDataFrame([("s", 1), (None, 2)], "a string, b int").select(seeds.derive_column(7, F.coalesce("a", F.lit("-")), F.col("b")).alias("x")).collect()
+    assert [r["x"] for r in got] == [seeds.derive(7, "s", "1"), seeds.derive(7, "-", "2")]
+    rows = [tuple(float(v) for v in RNG.random(3)) for _ in range(30)] + [(0.0, 0.0, 0.0), (0.5, 0.5, 0.5)]
+    made = spark.createDataFrame(rows, "r double, g double, b double").select(*[c.alias(n) for n, c in colour.hsv(F.col("r"), F.col("g"), F.col("b")).items()]).collect()
+    assert all(np.allclose((m["hue"] / 360, m["saturation"], m["value"]), colorsys.rgb_to_hsv(*r)) for m, r in zip(made, rows, strict=True))
+    assert spark.range(1).select(colour.hue_distance(F.lit(350.0), F.lit(20.0))).first()[0] == 30
+    x = RNG.random((2, 3, 8, 8))
+    assert np.allclose(colour.histograms(x).reshape(2, 3, 3).sum(-1), 1) and colour.grid_occupancy(x[:, 0] > 0.5).shape == (2, 16)
+    ops = Operators()
+    ops.register("a", "1", len, recipe.Target)
+    assert ops.configure("a", {"min_score": 0.5}).min_score == 0.5
+    for wrong in (lambda: ops.configure("a", {"x": 1}), lambda: ops.register("a", "2", len), lambda: ops.get("b")):
+        with pytest.raises((ValueError, KeyError)):
+            wrong()
+
+
+def test_covered_objects_by_mask(spark):
+    from samplewright.operators import raster
+
+    mask = np.zeros((6, 8), np.uint8)
+    mask[1:5, 2:6] = 1
+    df = spark.createDataFrame([(bytearray(mask.tobytes()), 8, 6, *b) for b in ((2.0, 1.0, 6.0, 5.0), (2.0, 1.0, 7.0, 5.0), (3.0, 3.0, 3.0, 3.0))], "mask binary, width int, height int, x_min double, y_min double, x_max double, y_max double")
+    assert [r[0] for r in df.select(raster.covered(*df.columns)).collect()] == [True, False, False]
