@@ -10,12 +10,17 @@ from samplewright.plans import stages
 from samplewright.session import table
 
 
+def _current(spark, d, *columns):
+    """Latest attempts with the named columns only; the scan then reads no others."""
+    return state.latest_attempts(table(spark, d, "node_runs").select("job_id", "node_id", "attempt", *columns))
+
+
 def current_node_runs(spark, d):
-    return state.latest_attempts(table(spark, d, "node_runs")).select("job_id", "node_id", "attempt", "status", "duration_ms")
+    return _current(spark, d, "status", "duration_ms").select("job_id", "node_id", "attempt", "status", "duration_ms")
 
 
 def job_counters(spark, d):
-    return report.job_counters(state.latest_attempts(table(spark, d, "node_runs")))
+    return report.job_counters(_current(spark, d, "status", "cache_hit", "duration_ms"))
 
 
 def stage_status_counts(spark, d):
@@ -27,7 +32,7 @@ def candidate_state_counts(spark, d):
 
 
 def resume_pending(spark, d):
-    runs = state.latest_attempts(table(spark, d, "node_runs"))
+    runs = _current(spark, d, "status")
     planned = table(spark, d, "node_runs").select("job_id", "node_id").distinct()
     return state.pending(planned, runs, ["job_id", "node_id"]).groupBy("job_id").agg(F.count("*").alias("pending"))
 
