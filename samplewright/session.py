@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +17,36 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once an application, unless they find it by themselves.
+
+    Workers of a local session see the driver's folder and PYTHONPATH; those of a cluster may have neither.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = os.path.dirname(os.path.abspath(__file__))
+    home = os.path.dirname(package)
+    seen = {os.path.abspath(p) for p in [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]}
+    if context.master.startswith("local") and not context.master.startswith("local-cluster") and home in seen:
+        return
+    made = tempfile.mkdtemp(prefix="samplewright-code-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    with zipfile.ZipFile(f"{made}/samplewright.zip", "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.relpath(os.path.join(folder, f), home))
+    context.addPyFile(f"{made}/samplewright.zip")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -86,5 +114,6 @@ def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Col
 
 def parallel(df: DataFrame, per_core: int = 3) -> DataFrame:
     """Spread rows for CPU-heavy Python stages when the scan gave fewer tasks than cores can use."""
+    ship(df.sparkSession)
     want = per_core * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
