@@ -187,10 +187,14 @@ class Tagger:
         return out
 
 
+def weights_of(path: str = WEIGHTS) -> dict[str, np.ndarray]:
+    with np.load(path) as f:
+        return {k: f[k] for k in f.files}
+
+
 @functools.cache
 def tagger(path: str = WEIGHTS) -> Tagger:
-    with np.load(path) as f:
-        return Tagger({k: f[k] for k in f.files})
+    return Tagger(weights_of(path))
 
 
 def runs(tags: np.ndarray) -> list[tuple[int, int, str]]:
@@ -352,11 +356,15 @@ def find(documents: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     """``doc_id, kind, start_pos, end_pos`` of every place."""
     kind_of_id = documents.schema["doc_id"].dataType.simpleString()
 
+    arrays = weights_of(weights)  # read here and sent with the task: executors need not have the file
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
         for batch in batches:
+            model = model or Tagger(arrays)
             texts = batch.column(1).to_pylist()
             for a, b in _runs_of(texts):
-                found = places(texts[a:b], tagger(weights))
+                found = places(texts[a:b], model)
                 row = pa.array([a + i for i, own in enumerate(found) for _ in own], pa.int64())
                 flat = [p for own in found for p in own]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([p[2] for p in flat], pa.string()), pa.array([p[0] for p in flat], pa.int32()), pa.array([p[1] for p in flat], pa.int32())], ["doc_id", "kind", "start_pos", "end_pos"])
@@ -368,11 +376,15 @@ def redact(documents: DataFrame, weights: str = WEIGHTS) -> DataFrame:
     """``doc_id, text, n_places``: every row with placeholders in its text; null stays null."""
     kind_of_id = documents.schema["doc_id"].dataType.simpleString()
 
+    arrays = weights_of(weights)  # read here and sent with the task: executors need not have the file
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
         for batch in batches:
+            model = model or Tagger(arrays)
             texts = batch.column(1).to_pylist()
             for a, b in _runs_of(texts):
-                found = places(texts[a:b], tagger(weights))
+                found = places(texts[a:b], model)
                 clean = [t if not own else replaced(t, own) for t, own in zip(texts[a:b], found, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(clean, pa.string()), pa.array([len(own) for own in found], pa.int32())], ["doc_id", "text", "n_places"])
 
