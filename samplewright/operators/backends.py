@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions.seeds import derive
 from samplewright.operators import raster
-from samplewright.session import settle
+from samplewright.session import settle, ship
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,7 @@ class Registry:
 
 def call(rows: DataFrame, backend: Backend) -> DataFrame:
     """Rows through a backend. ``partitions`` bounds how many calls run at once; a rate is shared out among them."""
+    ship(rows.sparkSession)
     if backend.partitions:
         rows = rows.repartition(backend.partitions)
     pause = backend.partitions / backend.per_second if backend.per_second and backend.partitions else 0.0

@@ -79,6 +79,7 @@ def settle(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataF
     pruning and filter pushdown for later readers, and survives the loss of any executor.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/samplewright/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
