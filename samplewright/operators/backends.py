@@ -197,14 +197,58 @@ def _each_shape(kernel):
     return run
 
 
+#: A part of fewer pixels is no object; nor is one below this share of the image, unless it is the largest.
+LEAST_AREA, LEAST_SHARE = 4, 0.002
+
+
+def _salient(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance to the border's colour, and where it stands out."""
+    delta = _difference(images)
+    return delta, delta > np.maximum(0.12, delta.mean((-2, -1), keepdims=True) + delta.std((-2, -1), keepdims=True))
+
+
+def _parts(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels of the pixels, and the label and area of each 4-connected part that may be an object, largest first."""
+    labels = raster.labels(mask)
+    names, areas = np.unique(labels[mask], return_counts=True)
+    order = np.argsort(-areas, kind="stable")
+    names, areas = names[order], areas[order]
+    large = (areas >= LEAST_AREA) & ((areas >= int(LEAST_SHARE * mask.size)) | (np.arange(len(areas)) == 0))
+    return labels, names[large], areas[large]
+
+
 def _saliency(rows: pd.DataFrame, h: int, w: int) -> pd.DataFrame:
-    delta = _difference(stack(rows, "pixels", h, w))
-    found = delta > np.maximum(0.12, delta.mean((-2, -1), keepdims=True) + delta.std((-2, -1), keepdims=True))
-    found = np.stack([_largest(m) for m in found]) if len(found) else found
+    delta, salient = _salient(stack(rows, "pixels", h, w))
+    owner, parts = [], []
+    for i, m in enumerate(salient):
+        labels, names, _ = _parts(m)
+        owner += [i] * len(names)
+        parts += [labels == n for n in names]
+    found = np.stack(parts) if parts else np.zeros((0, h, w), bool)
     s = raster.shape_of(found)
-    score = np.where(s["area"] > 0, raster._mean_where(delta, found) / np.maximum(delta.max((-2, -1)), 1e-9), 0.0)
-    out = pd.DataFrame({"sample_id": rows["sample_id"], "class_name": rows["class_name"], "score": np.round(score, 6), **{e: s[e].astype(float) for e in ("x_min", "y_min", "x_max", "y_max")}, "area": s["area"].astype("int64"), "mask": pack_masks(found)})
-    return out[s["area"] > 3]
+    score = [raster._mean_where(delta[i], m) / max(delta[i].max(), 1e-9) for i, m in zip(owner, found, strict=True)]
+    named = rows[["sample_id", "class_name"]].iloc[owner].reset_index(drop=True)
+    return named.assign(score=np.round(np.array(score, float), 6), **{e: s[e].astype(float) for e in ("x_min", "y_min", "x_max", "y_max")}, area=s["area"].astype("int64"), mask=pack_masks(found))
+
+
+def redetect(images: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Of each image the part that stands out whose box has the highest IoU with the box of ``wanted``; empty if none overlaps."""
+    out = np.zeros_like(wanted)
+    box = raster.shape_of(wanted)
+    for i, m in enumerate(_salient(images)[1]):
+        labels = raster.labels(m)
+        ys, xs = np.nonzero(m)
+        names, part, areas = np.unique(labels[m], return_inverse=True, return_counts=True)
+        low = lambda v: (e := np.full(len(names), max(m.shape)), np.minimum.at(e, part, v))[0]  # noqa: B023, E731
+        high = lambda v: (e := np.zeros(len(names), int), np.maximum.at(e, part, v + 1))[0]  # noqa: B023, E731
+        x0, y0, x1, y1 = low(xs), low(ys), high(xs), high(ys)
+        side = lambda a, b, lo, hi: np.maximum(np.minimum(b, box[hi][i]) - np.maximum(a, box[lo][i]), 0)  # noqa: B023, E731
+        shared = side(x0, x1, "x_min", "x_max") * side(y0, y1, "y_min", "y_max")
+        own = (box["x_max"][i] - box["x_min"][i]) * (box["y_max"][i] - box["y_min"][i])
+        iou = np.where(areas >= LEAST_AREA, shared / np.maximum((x1 - x0) * (y1 - y0) + own - shared, 1), 0.0)
+        if len(iou) and iou.max() > 0:
+            out[i] = labels == names[iou.argmax()]
+    return out
 
 
 SALIENCY = Backend("builtin_detector", ("object.detection.v1", "object.segmentation.v1"), _each_shape(_saliency), "sample_id string, class_name string, score double, x_min double, y_min double, x_max double, y_max double, area bigint, mask binary")

@@ -86,24 +86,31 @@ def band(masks: np.ndarray, radius: int) -> np.ndarray:
     return dilate(masks, radius) & ~erode(masks, radius)
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """Areas of the 4-connected parts, largest first: every pixel takes the smallest label around it until nothing changes."""
+def labels(mask: np.ndarray) -> np.ndarray:
+    """The number of the first pixel of its 4-connected part for each marked pixel, and the number of pixels elsewhere.
+
+    Every pixel takes the smallest label around it until nothing changes.
+    """
     h, w = mask.shape
     none = h * w
-    labels = np.where(mask, np.arange(none).reshape(h, w), none)
+    out = np.where(mask, np.arange(none).reshape(h, w), none)
     while True:
-        low = labels.copy()
-        low[1:] = np.minimum(low[1:], labels[:-1])
-        low[:-1] = np.minimum(low[:-1], labels[1:])
-        low[:, 1:] = np.minimum(low[:, 1:], labels[:, :-1])
-        low[:, :-1] = np.minimum(low[:, :-1], labels[:, 1:])
+        low = out.copy()
+        low[1:] = np.minimum(low[1:], out[:-1])
+        low[:-1] = np.minimum(low[:-1], out[1:])
+        low[:, 1:] = np.minimum(low[:, 1:], out[:, :-1])
+        low[:, :-1] = np.minimum(low[:, :-1], out[:, 1:])
         low = np.where(mask, low, none)
         roots = np.append(low.ravel(), none)
         low = np.where(mask, roots[low], none)  # jump to the label of the label
-        if (low == labels).all():
-            break
-        labels = low
-    return np.sort(np.unique(labels[mask], return_counts=True)[1])[::-1]
+        if (low == out).all():
+            return out
+        out = low
+
+
+def components(mask: np.ndarray) -> np.ndarray:
+    """Areas of the 4-connected parts, largest first."""
+    return np.sort(np.unique(labels(mask)[mask], return_counts=True)[1])[::-1]
 
 
 def background(source: np.ndarray, produced: np.ndarray, masks: np.ndarray, feather: int = 2, threshold: float = 0.10) -> dict[str, np.ndarray]:

@@ -24,7 +24,7 @@ MOST_COVERAGE, LEAST_IOU = 0.98, 0.15
 
 
 def detect(images: DataFrame, recipe: Recipe, backend: backends.Backend = backends.SALIENCY) -> DataFrame:
-    """Detections of images ``sample_id, width, height, pixels[, class_name]``, with content-derived object ids.
+    """Detections of images ``sample_id, width, height, pixels[, class_name]``, one for each part that stands out, with content-derived object ids.
 
     Empty masks and masks of nearly the whole image are no objects.
     """
@@ -56,10 +56,7 @@ def _evaluate(batch: pd.DataFrame) -> pd.DataFrame:
         before = backends.masks(rows, "mask", h, w)
         refined = backends.refine(source, made, before)
         packed = backends.pack(refined)
-        again = backends._saliency(pd.DataFrame({"sample_id": rows.index.astype(str), "class_name": rows["class_name"], "pixels": packed}), h, w)
-        after = np.zeros_like(before)
-        for i, m in zip(again["sample_id"].astype(int), again["mask"], strict=True):
-            after[i] = np.frombuffer(m, np.uint8).reshape(h, w) > 0
+        after = backends.redetect(backends.stack(pd.DataFrame({"pixels": packed}), "pixels", h, w), before)
         a, b = raster.shape_of(before), raster.shape_of(after)
         side = lambda lo, hi: np.maximum(np.minimum(a[hi], b[hi]) - np.maximum(a[lo], b[lo]), 0)  # noqa: B023, E731
         shared = side("x_min", "x_max") * side("y_min", "y_max")

@@ -180,6 +180,26 @@ def test_a_job_end_to_end(spark, tmp_path):
     assert "<table>" in export.review_page(job["decided"])
 
 
+def test_images_with_several_objects(spark):
+    rows, blocks = [], ((6, 4, 10, 12), (26, 6, 7, 9), (8, 24, 24, 12))  # x, y, width, height; the last one is the largest
+    for i in range(3):
+        x = np.full((3, 40, 48), 0.45) + RNG.normal(0, 0.005, (3, 40, 48))
+        for n, (left, top, w, h) in enumerate(blocks):
+            x[:, top : top + h, left + i : left + i + w] = np.array([0.05, 0.95, 0.9 if n == 2 else 0.05])[:, None, None]
+        x[:, 1:3, 44:45] = 1  # a speck
+        rows.append((f"s{i}", 48, 40, bytearray(np.round(x * 255).astype(np.uint8).tobytes())))
+    pictures = spark.createDataFrame(rows, "sample_id string, width int, height int, pixels binary")
+    r = recipe.load({"name": "j", "dataset": {"path": "."}, "target": {"classes": ["block"], "max_per_sample": 3}, "replacement": {"values": ["sedan"]}, "quality": {"minimum_overall": 0.4}})
+    job = pipeline.run(pictures, r)
+    want = {(f"s{i}", float(x + i), float(y), float(x + i + w), float(y + h), w * h) for i in range(3) for x, y, w, h in blocks}
+    assert {(d["sample_id"], d["x_min"], d["y_min"], d["x_max"], d["y_max"], d["area"]) for d in job["detections"].collect()} == want
+    assert job["targets"].count() == 9 and job["detections"].select("object_id").distinct().count() == 9
+    measured = job["measured"].collect()
+    assert len(measured) == 9 and all(m["found"] and m["redetect_iou"] >= 0.5 for m in measured)
+    made = pipeline.labels(job).groupBy("image").count().collect()
+    assert made and all(m["count"] == 3 for m in made)
+
+
 def test_an_erased_object_is_rejected(spark):
     wide = spark.createDataFrame([("a", False, 0.0, 0.2)], "candidate_id string, found boolean, coverage double, expected_coverage double")
     from samplewright.operators import outcomes
