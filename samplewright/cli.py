@@ -6,7 +6,7 @@
     python -m samplewright.cli run RECIPE.yaml --out DIR
     python -m samplewright.cli qa DIR RECIPE.yaml            apply a policy to stored evidence
     python -m samplewright.cli report DIR
-    python -m samplewright.cli export DIR RECIPE.yaml --out DIR
+    python -m samplewright.cli export DIR RECIPE.yaml --out DIR [--reviews FILE.csv]
     python -m samplewright.cli workflow RECIPE.yaml
     python -m samplewright.cli video SPEC.json
     python -m samplewright.cli jobs TABLES
@@ -21,6 +21,7 @@ import sys
 from samplewright.operators import gates, report, video
 from samplewright.plans import recipe as recipes
 from samplewright.plans import stages
+from samplewright.session import settle
 
 
 def session():
@@ -73,7 +74,8 @@ def run(a) -> int:
 
     r = recipes.load_file(a.recipe)
     spark = session()
-    good, refused = images.ingest(images.discover(spark, r.dataset.path, r.dataset.recursive))
+    good, refused = images.ingest(images.with_split(images.discover(spark, r.dataset.path, r.dataset.recursive), r.dataset.split_mode, r.dataset.path))
+    good.select(F.col("relative_path").alias("id"), F.col("digest").alias("root"), "split").write.mode("overwrite").parquet(f"{a.out}/samples")
     if r.dataset.max_samples is not None:
         good = images.first_samples(good, r.dataset.max_samples)
     base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(r.dataset.path)
@@ -83,7 +85,11 @@ def run(a) -> int:
     job = pipeline.run(usable, r)
     for name in ("detections", "targets", "decided"):
         job[name].write.mode("overwrite").parquet(f"{a.out}/{name}")
-    pipeline.labels(job).write.mode("overwrite").parquet(f"{a.out}/labels")
+    # Labels of every candidate: a review may still accept it.
+    pipeline.labels(job, ("accepted", "needs_review", "rejected")).write.mode("overwrite").parquet(f"{a.out}/labels")
+    if r.duplicates.algorithm != "none":
+        for name, rows in zip(("hashes", "source_hashes"), pipeline.hashes(job, r.duplicates.algorithm), strict=True):
+            rows.withColumn("algorithm", F.lit(r.duplicates.algorithm)).write.mode("overwrite").parquet(f"{a.out}/{name}")
     refused.write.mode("overwrite").parquet(f"{a.out}/refused")
     show(gates.acceptance(spark.read.parquet(f"{a.out}/decided"), ["category"]))
     return 0
@@ -115,12 +121,27 @@ def export(a) -> int:
 
     r = recipes.load_file(a.recipe)
     spark = session()
-    decided = spark.read.parquet(f"{a.folder}/decided").filter("decision = 'accepted'")
+    decided = spark.read.parquet(f"{a.folder}/decided")
+    if a.reviews:
+        decided = out.review_override(decided, spark.read.csv(a.reviews, header=True))
+    states = ("accepted", "needs_review") if r.export.include_review else ("accepted",)
+    decided = decided.filter(F.col("decision").isin(*states))
+    problems = out.lineage_problems(decided, spark.read.parquet(f"{a.folder}/samples"))
+    dropped = 0
+    if r.duplicates.algorithm != "none":
+        hashes, sources = (spark.read.parquet(f"{a.folder}/{n}") for n in ("hashes", "source_hashes"))
+        if not hashes.filter(F.col("algorithm") != r.duplicates.algorithm).isEmpty():
+            raise out.ExportError(f"the job's images were not hashed by {r.duplicates.algorithm}")
+        decided, decisions = out.exportable(decided, hashes, sources, r.duplicates.threshold, states)
+        duplicates = settle(decisions.filter("not kept"), "export-duplicates")
+        dropped = duplicates.count()
     sizes = decided.select(F.col("candidate_id").alias("image"), F.col("width").cast("double").alias("image_width"), F.col("height").cast("double").alias("image_height"))
     labels = spark.read.parquet(f"{a.folder}/labels").join(sizes, "image")
     rows = out.provenance(decided, spark.read.parquet(f"{a.folder}/targets"), {"recipe": r.hash, "recipe_name": r.name})
     bound = {"image.replacement.v1": {"id": "builtin_replacement", "demo_only": True}}
-    print(json.dumps(out.export(rows, labels, a.out, {"recipe": r.hash}, r.export.format, bound, r.allow_demo_backends)))
+    print(json.dumps(out.export(rows, labels, a.out, {"recipe": r.hash, "duplicates": dropped}, r.export.format, bound, r.allow_demo_backends, problems)))
+    if r.duplicates.algorithm != "none":
+        duplicates.write.mode("overwrite").parquet(f"{a.out}/duplicates")
     return 0
 
 
@@ -152,6 +173,8 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("--samples", type=int, default=1)
         if name in ("run", "export"):
             p.add_argument("--out", required=True)
+        if name == "export":
+            p.add_argument("--reviews", help="CSV of candidate_id, decision that replace the machine's")
     try:
         a = parser.parse_args(argv)
     except SystemExit as e:

@@ -23,12 +23,12 @@ def review_override(decided: DataFrame, reviews: DataFrame) -> DataFrame:
     return decided.withColumnRenamed("decision", "machine_decision").join(named, "candidate_id", "left").withColumn("decision", F.coalesce("__r", "machine_decision")).drop("__r")
 
 
-def exportable(decided: DataFrame, hashes: DataFrame, references: DataFrame | None = None, threshold: int = 6) -> tuple[DataFrame, DataFrame]:
-    """Accepted candidates without duplicates, and the duplicate decisions.
+def exportable(decided: DataFrame, hashes: DataFrame, references: DataFrame | None = None, threshold: int = 6, states: tuple[str, ...] = ("accepted",)) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the given decisions without duplicates, and the duplicate decisions.
 
     ``hashes`` has ``candidate_id, ord, hash`` of the produced images, ``references`` has ``item, hash`` of the sources.
     """
-    accepted = decided.filter("decision = 'accepted'")
+    accepted = decided.filter(F.col("decision").isin(*states))
     records = accepted.select("candidate_id").join(hashes, "candidate_id", "left").select(F.col("candidate_id").alias("item"), "ord", "hash")
     decisions = dedup.resolve(records, references, threshold)
     dropped = decisions.filter("not kept").select(F.col("item").alias("candidate_id"))
@@ -42,6 +42,15 @@ def leaks(edges: DataFrame, samples: DataFrame) -> DataFrame:
     return crossed.unionByName(roots)
 
 
+def lineage_problems(candidates: DataFrame, samples: DataFrame) -> DataFrame:
+    """:func:`leaks` of candidates ``candidate_id, sample_id`` and every sample ``id, root, split`` that shares a root with them."""
+    made = candidates.select(F.col("candidate_id").alias("child"), F.col("sample_id").alias("parent"))
+    roots = samples.join(made.select(F.col("parent").alias("id")).distinct(), "id", "left_semi").select("root").distinct()
+    related = samples.join(roots, "root", "left_semi").select("id", "root", "split")
+    heirs = made.join(related.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id"), "root", "split")
+    return leaks(made, related.unionByName(heirs))
+
+
 def provenance(decided: DataFrame, targets: DataFrame, job: dict) -> DataFrame:
     """The record of each exported candidate: where it comes from and what decided it."""
     return decided.join(targets.select("sample_id", "object_id", F.col("class_name").alias("target_class")), ["sample_id", "object_id"], "left").select(

@@ -17,7 +17,7 @@ from samplewright.functions import geometry as g
 from samplewright.functions import identity
 from samplewright.operators import annotations, backends, gates, outcomes, raster, select
 from samplewright.plans.recipe import Recipe
-from samplewright.session import settle
+from samplewright.session import settle, ship
 
 #: Coverage above which a mask is no object, and the IoU from which a re-detection is the replaced object.
 MOST_COVERAGE, LEAST_IOU = 0.98, 0.15
@@ -104,9 +104,23 @@ def _schema(df: DataFrame, without: str) -> str:
     return ", ".join(f"{n} {t}" for n, t in df.dtypes if n != without)
 
 
-def labels(job: dict[str, DataFrame]) -> DataFrame:
-    """Labels of the accepted candidates: inherited objects and the regenerated target."""
-    d, c = job["detections"], job["decided"].filter("decision = 'accepted'")
+def hashes(job: dict[str, DataFrame], algorithm: str) -> tuple[DataFrame, DataFrame]:
+    """Perceptual hashes for duplicate control: ``candidate_id, ord, hash`` of the produced images and ``item, hash`` of their sources."""
+    kernel = lambda rows, h, w: raster.perceptual_hashes(backends.stack(rows, "pixels", h, w).mean(1))
+
+    def of(images: DataFrame, keys: list[str]) -> DataFrame:
+        ship(images.sparkSession)
+        schema = ", ".join(f"{k} string" for k in keys) + ", ahash bigint, dhash bigint, phash bigint"
+        return images.select(*keys, "width", "height", "pixels").mapInPandas(raster.by_shape(kernel, keys), schema).select(*keys, F.col(algorithm).alias("hash"))
+
+    # In order of the samples, then of the candidates.
+    made = of(job["measured"], ["sample_id", "candidate_id"]).select("candidate_id", F.concat_ws("/", "sample_id", "candidate_id").alias("ord"), "hash")
+    return made, of(job["images"], ["sample_id"]).withColumnRenamed("sample_id", "item")
+
+
+def labels(job: dict[str, DataFrame], decisions: Sequence[str] = ("accepted",)) -> DataFrame:
+    """Labels of the accepted candidates, or those of the named decisions: inherited objects and the regenerated target."""
+    d, c = job["detections"], job["decided"].filter(F.col("decision").isin(*decisions))
     source = d.select(F.col("sample_id").alias("image"), "object_id", F.col("class_name").alias("category"), *g.EDGES, F.col("area").cast("double").alias("area"), F.lit(0).alias("iscrowd"), F.lit(None).cast("array<double>").alias("polygon"))
     replaced = d.select("sample_id", "object_id", *[F.col(e).alias(f"r_{e}") for e in g.EDGES])
     made = c.join(replaced, ["sample_id", "object_id"]).select(F.col("candidate_id").alias("image"), F.col("sample_id").alias("source_image"), F.col("candidate_id").alias("object_id"), "category", *g.EDGES, F.col("mask_area").alias("area"), F.lit(0).alias("iscrowd"), F.lit(None).cast("array<double>").alias("polygon"), "found", *[f"r_{e}" for e in g.EDGES])

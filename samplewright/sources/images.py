@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samplewright.operators import lineage
+
 # Suffixes that are images, directories that hold no samples, and the ingest limits.
 SUFFIXES = ("jpg", "jpeg", "png", "webp")
 METADATA = ("annotations", "labels", "metadata", "__MACOSX")
@@ -88,6 +90,15 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
     return out.withColumn("reason", refusal())
 
 
+def with_split(found: DataFrame, mode: str, folder: str) -> DataFrame:
+    """``split`` of each file by the recipe's mode; without one all are ``train``. A manifest is ``splits.json``, an object of paths and splits."""
+    if mode == "manifest":
+        listed = found.sparkSession.read.text(f"{folder}/splits.json", wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("relative_path", "split"))
+        return lineage.split_from_manifest(found, listed.withColumn("relative_path", F.replace("relative_path", F.lit("\\"), F.lit("/"))))
+    path = F.col("relative_path")
+    return found.withColumn("split", {"directory": lineage.split_from_directory, "filename": lineage.split_from_filename}.get(mode, lambda _: F.lit("train"))(path))
+
+
 def refusal() -> F.Column:
     """Why a probed file is no sample, or null."""
     return (

@@ -30,3 +30,46 @@ def test_a_job_by_command_line(spark, tmp_path, capsys):
     spec.write_text(json.dumps({"id": "v", "operators": [{"name": "speed", "axis": "pace", "domains": {"factor": [0.5, 2]}}]}))
     assert cli.main(["video", str(spec)]) == 0
     assert "accepted" in capsys.readouterr().out
+
+
+def scene(rng, shade, left, top, w, h):
+    x = np.full((30, 40, 3), shade) + rng.normal(0, 1, (30, 40, 3))
+    x[top : top + h, left : left + w] = (20, 230, 50)
+    return images.encode_png(np.round(x).clip(0, 255).astype(np.uint8))
+
+
+def test_exports_hold_no_duplicates_and_no_leaks(spark, tmp_path, capsys):
+    rng = np.random.default_rng(3)
+    (tmp_path / "in" / "train").mkdir(parents=True)
+    first, other = scene(rng, 115, 8, 6, 12, 14), scene(rng, 115, 20, 16, 15, 9)
+    for name, data in (("a", first), ("copy", first), ("b", other)):
+        (tmp_path / "in" / "train" / f"{name}.png").write_bytes(data)
+    doc = {"name": "c", "allow_demo_backends": True, "dataset": {"path": str(tmp_path / "in"), "split_mode": "directory"}, "target": {"classes": ["block"]}, "replacement": {"values": ["taxi"]}, "quality": {"minimum_overall": 0.3}}
+    recipe, out = tmp_path / "r.yaml", str(tmp_path / "job")
+    recipe.write_text(json.dumps(doc))
+    assert cli.main(["run", str(recipe), "--out", out]) == 0
+    decided = {r["sample_id"]: r["candidate_id"] for r in spark.read.parquet(f"{out}/decided").filter("decision = 'accepted'").collect()}
+    hashes = {r["candidate_id"]: r["hash"] for r in spark.read.parquet(f"{out}/hashes").collect()}
+    assert len(decided) == 3 and len(hashes) == 3 and spark.read.parquet(f"{out}/source_hashes").count() == 3
+    # Hashes far apart, but for those of the copies.
+    far = {"train/a.png": 0, "train/copy.png": 3, "train/b.png": -1}
+    put = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{out}/{name}")
+    put([(c, s, far[s], "phash") for s, c in decided.items()], "candidate_id string, ord string, hash bigint, algorithm string", "hashes")
+    put([("s", 0xFFFF0000, "phash")], "item string, hash bigint, algorithm string", "source_hashes")
+
+    def export(folder, *more):
+        capsys.readouterr()
+        code = cli.main(["export", out, str(recipe), "--out", str(tmp_path / folder), *more])
+        return code, set() if code else {r["candidate_id"] for r in spark.read.parquet(str(tmp_path / folder / "provenance")).collect()}
+
+    assert export("x") == (0, {decided["train/a.png"], decided["train/b.png"]})
+    assert [r["reference"] for r in spark.read.parquet(str(tmp_path / "x" / "duplicates")).collect()] == [decided["train/a.png"]]
+    reviews = tmp_path / "reviews.csv"
+    reviews.write_text(f"candidate_id,decision\n{decided['train/a.png']},rejected\n{decided['train/b.png']},needs_review\n")
+    assert export("y", "--reviews", str(reviews)) == (0, {decided["train/copy.png"]})
+    recipe.write_text(json.dumps(doc | {"export": {"include_review": True}}))
+    assert export("z", "--reviews", str(reviews)) == (0, {decided["train/copy.png"], decided["train/b.png"]})
+    samples = [tuple(r) for r in spark.read.parquet(f"{out}/samples").select("id", "root", "split").collect()]
+    assert {s[2] for s in samples} == {"train"}
+    put([*samples, ("val/a.png", samples[0][1], "val")], "id string, root string, split string", "samples")
+    assert export("w")[0] == 1
