@@ -76,12 +76,12 @@ def run(a) -> int:
     spark = session()
     good, refused = images.ingest(images.with_split(images.discover(spark, r.dataset.path, r.dataset.recursive), r.dataset.split_mode, r.dataset.path))
     good.select(F.col("relative_path").alias("id"), F.col("digest").alias("root"), "split").write.mode("overwrite").parquet(f"{a.out}/samples")
-    if r.dataset.max_samples is not None:
-        good = images.first_samples(good, r.dataset.max_samples)
-    base = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(r.dataset.path)
-    content = base.withColumn("digest", F.sha2("content", 256)).select("digest", "content").dropDuplicates(["digest"])
-    pixels = images.pixels(good.join(content, "digest").select("relative_path", "content"))
-    usable = pixels.filter("error is null and channels = 3").withColumnRenamed("relative_path", "sample_id")
+    usable, unread = images.readable(good, r.dataset.path, r.dataset.max_samples)
+    refused = refused.unionByName(unread)
+    refused.write.mode("overwrite").parquet(f"{a.out}/refused")
+    show(refused.groupBy("error_code", "reason").count())
+    if usable.isEmpty():
+        raise RuntimeError(f"no sample of {r.dataset.path} can be read; see {a.out}/refused")
     job = pipeline.run(usable, r)
     for name in ("detections", "targets", "decided"):
         job[name].write.mode("overwrite").parquet(f"{a.out}/{name}")
@@ -90,7 +90,6 @@ def run(a) -> int:
     if r.duplicates.algorithm != "none":
         for name, rows in zip(("hashes", "source_hashes"), pipeline.hashes(job, r.duplicates.algorithm), strict=True):
             rows.withColumn("algorithm", F.lit(r.duplicates.algorithm)).write.mode("overwrite").parquet(f"{a.out}/{name}")
-    refused.write.mode("overwrite").parquet(f"{a.out}/refused")
     show(gates.acceptance(spark.read.parquet(f"{a.out}/decided"), ["category"]))
     return 0
 

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samplewright.operators import lineage
+from samplewright.session import settle
 
 # Suffixes that are images, directories that hold no samples, and the ingest limits.
 SUFFIXES = ("jpg", "jpeg", "png", "webp")
 METADATA = ("annotations", "labels", "metadata", "__MACOSX")
 MAX_PIXELS, MAX_SIDE = 64_000_000, 16_384
+UNREAD = "only 8-bit PNG files without interlace are read"
 
 
 def probe(data: bytes) -> dict[str, object]:
@@ -122,6 +124,24 @@ def first_samples(found: DataFrame, most: int) -> DataFrame:
     return found.orderBy("relative_path").limit(most)
 
 
+def readable(good: DataFrame, folder: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Images ``sample_id, width, height, pixels`` of three channels from ingested files, and the files that cannot be decoded with ``reason`` and ``error_code``.
+
+    Grey becomes three equal channels. ``most`` counts decoded samples, so files that drop out do not use it up.
+    """
+    base = good.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    content = base.withColumn("digest", F.sha2("content", 256)).select("digest", "content").dropDuplicates(["digest"])
+    decoded = settle(pixels(good.join(content, "digest").select("relative_path", "content")), "pixels")
+    wrong = decoded.filter("error is not null").select("relative_path", "error")
+    unread = (F.col("kind") != "png") | F.col("reason").eqNullSafe(UNREAD)
+    refused = good.drop("reason").join(wrong.withColumnRenamed("error", "reason"), "relative_path").withColumn("error_code", F.when(unread, "MEDIA_UNSUPPORTED").otherwise("MEDIA_UNREADABLE"))
+    fine = decoded.filter("error is null")
+    if most is not None:
+        fine = fine.join(first_samples(fine.select("relative_path"), most), "relative_path", "left_semi")
+    three = F.when(F.col("channels") == 1, F.concat("pixels", "pixels", "pixels")).otherwise(F.col("pixels"))
+    return fine.select(F.col("relative_path").alias("sample_id"), "width", "height", three.alias("pixels")), refused
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """Height x width x channels of an 8-bit, not interlaced PNG (grey, RGB, palette, with or without alpha; alpha is dropped)."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
@@ -138,7 +158,7 @@ def decode_png(data: bytes) -> np.ndarray:
             packed.append(body)
         at += 12 + length
     if depth != 8 or interlace or w * h > MAX_PIXELS:
-        raise ValueError("only 8-bit PNG files without interlace are read")
+        raise ValueError(UNREAD)
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
     rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * channels)
     out = np.zeros((h, w * channels), np.uint8)
@@ -189,7 +209,7 @@ def pixels(files: DataFrame) -> DataFrame:
                     image = decode_png(bytes(content))
                     # Channels lie one after another, as the kernels read them.
                     out.append((path, image.shape[1], image.shape[0], image.shape[2], image.transpose(2, 0, 1).tobytes(), None))
-                except (ValueError, KeyError, zlib.error, struct.error, TypeError, UnboundLocalError) as e:
+                except (ValueError, KeyError, IndexError, zlib.error, struct.error, TypeError, UnboundLocalError) as e:
                     out.append((path, None, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["relative_path", "width", "height", "channels", "pixels", "error"]).astype({c: "Int32" for c in ("width", "height", "channels")})
 

@@ -73,3 +73,26 @@ def test_exports_hold_no_duplicates_and_no_leaks(spark, tmp_path, capsys):
     assert {s[2] for s in samples} == {"train"}
     put([*samples, ("val/a.png", samples[0][1], "val")], "id string, root string, split string", "samples")
     assert export("w")[0] == 1
+
+
+def test_unread_files_are_refused_and_grey_is_read(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    (tmp_path / "in").mkdir()
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x20\x00\x30" + b"\0" * 20
+    grey = np.full((30, 40), 115, np.uint8)
+    grey[8:20, 10:24] = 250
+    deep = bytearray(scene(rng, 115, 8, 6, 12, 14))
+    deep[24] = 16  # bits a channel
+    broken = scene(rng, 115, 8, 6, 12, 14)[:60]
+    for name, data in (("a.jpg", jpeg), ("b.png", bytes(deep)), ("c.png", broken), ("d.png", images.encode_png(grey)), ("e.png", scene(rng, 115, 8, 6, 12, 14)), ("f.png", scene(rng, 115, 8, 6, 12, 14))):
+        (tmp_path / "in" / name).write_bytes(data)
+    doc = {"name": "c", "dataset": {"path": str(tmp_path / "in"), "max_samples": 2}, "target": {"classes": ["block"]}, "replacement": {"values": ["taxi"]}, "quality": {"minimum_overall": 0.3}}
+    recipe, out = tmp_path / "r.yaml", str(tmp_path / "job")
+    recipe.write_text(json.dumps(doc))
+    assert cli.main(["run", str(recipe), "--out", out]) == 0
+    assert {r["sample_id"] for r in spark.read.parquet(f"{out}/detections").collect()} == {"d.png", "e.png"}
+    refused = {r["relative_path"]: (r["error_code"], bool(r["reason"])) for r in spark.read.parquet(f"{out}/refused").collect()}
+    assert refused == {"a.jpg": ("MEDIA_UNSUPPORTED", True), "b.png": ("MEDIA_UNSUPPORTED", True), "c.png": ("MEDIA_UNREADABLE", True)}
+    for name in "bcdef":
+        (tmp_path / "in" / f"{name}.png").unlink()
+    assert cli.main(["run", str(recipe), "--out", out]) == 1
