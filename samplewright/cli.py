@@ -70,12 +70,18 @@ def run(a) -> int:
     from pyspark.sql import functions as F
 
     from samplewright.plans import pipeline
-    from samplewright.sources import images
+    from samplewright.sources import images, labels
 
     r = recipes.load_file(a.recipe)
     spark = session()
     good, refused = images.ingest(images.with_split(images.discover(spark, r.dataset.path, r.dataset.recursive), r.dataset.split_mode, r.dataset.path))
     good.select(F.col("relative_path").alias("id"), F.col("digest").alias("root"), "split").write.mode("overwrite").parquet(f"{a.out}/samples")
+    allowed = sorted({"val" if s in ("validation", "valid") else s for s in r.dataset.augment_splits})
+    good = good.filter(F.col("split").isin(*allowed))
+    if good.isEmpty():
+        refused.write.mode("overwrite").parquet(f"{a.out}/refused")
+        raise RuntimeError(f"no sample of {r.dataset.path} stands in a split to augment: {', '.join(allowed)}")
+    source = None if r.dataset.annotations == "none" else labels.of_samples(good, r.dataset.annotations, r.dataset.path)
     usable, unread = images.readable(good, r.dataset.path, r.dataset.max_samples)
     refused = refused.unionByName(unread)
     refused.write.mode("overwrite").parquet(f"{a.out}/refused")
@@ -86,7 +92,7 @@ def run(a) -> int:
     for name in ("detections", "targets", "decided"):
         job[name].write.mode("overwrite").parquet(f"{a.out}/{name}")
     # Labels of every candidate: a review may still accept it.
-    pipeline.labels(job, ("accepted", "needs_review", "rejected")).write.mode("overwrite").parquet(f"{a.out}/labels")
+    pipeline.labels(job, ("accepted", "needs_review", "rejected"), source).write.mode("overwrite").parquet(f"{a.out}/labels")
     if r.duplicates.algorithm != "none":
         for name, rows in zip(("hashes", "source_hashes"), pipeline.hashes(job, r.duplicates.algorithm), strict=True):
             rows.withColumn("algorithm", F.lit(r.duplicates.algorithm)).write.mode("overwrite").parquet(f"{a.out}/{name}")
@@ -180,7 +186,7 @@ def main(argv: list[str] | None = None) -> int:
         return 2 if e.code else 0
     try:
         return a.call(a)
-    except (recipes.RecipeError, FileNotFoundError, KeyError, json.JSONDecodeError) as e:
+    except (recipes.RecipeError, FileNotFoundError, KeyError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
     except RuntimeError as e:

@@ -118,10 +118,14 @@ def hashes(job: dict[str, DataFrame], algorithm: str) -> tuple[DataFrame, DataFr
     return made, of(job["images"], ["sample_id"]).withColumnRenamed("sample_id", "item")
 
 
-def labels(job: dict[str, DataFrame], decisions: Sequence[str] = ("accepted",)) -> DataFrame:
-    """Labels of the accepted candidates, or those of the named decisions: inherited objects and the regenerated target."""
+def labels(job: dict[str, DataFrame], decisions: Sequence[str] = ("accepted",), source: DataFrame | None = None) -> DataFrame:
+    """Labels of the accepted candidates, or those of the named decisions: inherited objects and the regenerated target.
+
+    What is inherited are the labels of the dataset, ``source``; a dataset without any inherits the detections.
+    """
     d, c = job["detections"], job["decided"].filter(F.col("decision").isin(*decisions))
-    source = d.select(F.col("sample_id").alias("image"), "object_id", F.col("class_name").alias("category"), *g.EDGES, F.col("area").cast("double").alias("area"), F.lit(0).alias("iscrowd"), F.lit(None).cast("array<double>").alias("polygon"))
+    if source is None:
+        source = d.select(F.col("sample_id").alias("image"), "object_id", F.col("class_name").alias("category"), *g.EDGES, F.col("area").cast("double").alias("area"), F.lit(0).alias("iscrowd"), F.lit(None).cast("array<double>").alias("polygon"))
     replaced = d.select("sample_id", "object_id", *[F.col(e).alias(f"r_{e}") for e in g.EDGES])
     made = c.join(replaced, ["sample_id", "object_id"]).select(F.col("candidate_id").alias("image"), F.col("sample_id").alias("source_image"), F.col("candidate_id").alias("object_id"), "category", *g.EDGES, F.col("mask_area").alias("area"), F.lit(0).alias("iscrowd"), F.lit(None).cast("array<double>").alias("polygon"), "found", *[f"r_{e}" for e in g.EDGES])
     return annotations.rebuild(source, made)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samplewright.functions import geometry as g
 from samplewright.operators import annotations
+from samplewright.session import settle
 
 # Where a COCO document is looked for, in this order.
 COCO_PLACES = ("annotations/instances_train.json", "annotations/instances_val.json", "annotations/instances_test.json", "annotations/instances_default.json", "annotations.json")
@@ -57,10 +59,44 @@ def read_yolo(spark: SparkSession, folder: str) -> DataFrame:
         listed = yaml.safe_load("\n".join(r["value"] for r in spark.read.text(f"{folder}/data.yaml").collect())).get("names", [])
         names = [listed[k] for k in sorted(listed)] if isinstance(listed, dict) else list(listed)
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True).withColumn("path", F.input_file_name()).filter(~F.col("path").endswith("classes.txt"))
-    lines = lines.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no") + 1)
+    lines = lines.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no") + 1).filter(~F.trim("value").startswith("#"))
     return annotations.from_yolo_lines(lines, names)
 
 
+def of_samples(samples: DataFrame, form: str, folder: str) -> DataFrame:
+    """Source labels of samples ``relative_path, width, height``, under ``image`` the relative path; form ``coco`` or ``yolo``.
+
+    A COCO entry belongs to the sample of its file name. A YOLO file lies below ``labels`` (for a sample below ``images``, in its place) or beside the image; the first one that
+    exists counts, and a line of it that is no label raises.
+    """
+    columns = ["image", "object_id", "category", *g.EDGES, "area", "iscrowd", "polygon"]
+    if form == "coco":
+        named = read_coco(samples.sparkSession, folder).withColumn("image", F.ltrim(F.replace("image", F.lit("\\"), F.lit("/")), F.lit("./")))
+        return named.join(samples.select(F.col("relative_path").alias("image")), "image", "left_semi").select(*columns)
+    spark = samples.sparkSession
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
+    below = lambda path: F.substring(F.regexp_replace(path, "^[a-z0-9]+:/*(?=/)", ""), len(base) + 2, 1 << 20)
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder).select(below(F.col("path")).alias("file"))
+    stem = F.regexp_replace("relative_path", r"\.[^./]*$", "")
+    places = F.array(F.when(stem.startswith("images/"), F.regexp_replace(stem, "^images/", "labels/")), F.concat(F.lit("labels/"), stem), stem)
+    wanted = samples.select("relative_path", "width", "height", F.posexplode(places).alias("rank", "file")).filter("file is not null").withColumn("file", F.concat("file", F.lit(".txt")))
+    chosen = wanted.join(there, "file").groupBy("relative_path", "width", "height").agg(F.min_by("file", "rank").alias("file"))
+    # Names of text files come percent-encoded.
+    lines = read_yolo(spark, folder).withColumn("file", below(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))))
+    lines = settle(lines.join(chosen, "file"), "yolo")
+    if wrong := lines.filter("error in ('too_few_fields', 'not_a_number')").select("file", "line_no", "error").limit(1).collect():
+        raise ValueError(f"{wrong[0]['file']} line {wrong[0]['line_no']}: {wrong[0]['error']}")
+    c, w, h = (lambda i: F.get("coords", F.lit(i))), F.col("width"), F.col("height")
+    ring = F.transform(F.col("coords"), lambda v, i: v * F.when(i % 2 == 0, w).otherwise(h))
+    even, odd = F.filter(ring, lambda _, i: i % 2 == 0), F.filter(ring, lambda _, i: i % 2 == 1)
+    boxed = F.col("kind") == "box"
+    raw = {"x_min": F.when(boxed, (c(0) - c(2) / 2) * w).otherwise(F.array_min(even)), "y_min": F.when(boxed, (c(1) - c(3) / 2) * h).otherwise(F.array_min(odd)), "x_max": F.when(boxed, (c(0) + c(2) / 2) * w).otherwise(F.array_max(even)), "y_max": F.when(boxed, (c(1) + c(3) / 2) * h).otherwise(F.array_max(odd))}
+    clipped = g.clip(raw, w, h)
+    points = F.transform(F.sequence(F.lit(0), F.floor(F.size(ring) / 2).cast("int") - 1), lambda i: F.struct(F.get(ring, i * 2).alias("x"), F.get(ring, i * 2 + 1).alias("y")))
+    rows = lines.filter("error is null").select(F.col("relative_path").alias("image"), "line_no", "category", *[v.alias(e) for e, v in clipped.items()], F.when(boxed, g.area(clipped)).otherwise(g.polygon_area(points)).alias("area"), F.lit(0).alias("iscrowd"), F.when(~boxed, ring).alias("polygon"))
+    return annotations.number_objects(rows.filter("x_max > x_min and y_max > y_min"), "line_no").select(*columns)
+
+
 def write_yolo(labels: DataFrame, folder: str, split: str = "train") -> None:
     """A label file per image (grouped text rows by stem), ``classes`` and ``data.yaml`` text beside them."""
     words = annotations.vocabulary(labels)

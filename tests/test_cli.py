@@ -96,3 +96,32 @@ def test_unread_files_are_refused_and_grey_is_read(spark, tmp_path):
     for name in "bcdef":
         (tmp_path / "in" / f"{name}.png").unlink()
     assert cli.main(["run", str(recipe), "--out", out]) == 1
+
+
+def test_only_the_named_splits_are_augmented_and_labels_come_from_the_dataset(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    for split in ("train", "val"):
+        (tmp_path / "in" / "images" / split).mkdir(parents=True)
+        (tmp_path / "in" / "labels" / split).mkdir(parents=True)
+        (tmp_path / "in" / "images" / split / "a 1.png").write_bytes(scene(rng, 115, 8, 6, 12, 14))
+        # The block (8, 6) to (20, 20), and an object that no detector sees.
+        (tmp_path / "in" / "labels" / split / "a 1.txt").write_text("# block, bird\n0 0.35 0.433333 0.3 0.466667\n1 0.75 0 1 0 1 0.25\n")
+    (tmp_path / "in" / "classes.txt").write_text("block\nbird\n")
+    coco = {"images": [{"id": 1, "file_name": "./images/train/a 1.png", "width": 40, "height": 30}], "categories": [{"id": 1, "name": "block"}, {"id": 2, "name": "bird"}], "annotations": [{"id": 1, "image_id": 1, "category_id": 1, "bbox": [8, 6, 12, 14]}, {"id": 2, "image_id": 1, "category_id": 2, "bbox": [30, 0, 10, 7.5], "area": 37.5}]}
+    (tmp_path / "in" / "annotations.json").write_text(json.dumps(coco))
+    dataset = {"path": str(tmp_path / "in"), "split_mode": "directory", "annotations": "yolo"}
+    doc = {"name": "c", "dataset": dataset, "target": {"classes": ["block"]}, "replacement": {"values": ["taxi"]}, "quality": {"minimum_overall": 0.3}}
+    recipe, out = tmp_path / "r.yaml", str(tmp_path / "job")
+    recipe.write_text(json.dumps(doc))
+    assert cli.main(["run", str(recipe), "--out", out]) == 0
+    assert [r["sample_id"] for r in spark.read.parquet(f"{out}/detections").collect()] == ["images/train/a 1.png"]
+    assert {(r["id"], r["split"]) for r in spark.read.parquet(f"{out}/samples").collect()} == {("images/train/a 1.png", "train"), ("images/val/a 1.png", "val")}
+    written = {(r["category"], r["origin"]): tuple(r[e] for e in ("x_min", "y_min", "x_max", "y_max", "area")) for r in spark.read.parquet(f"{out}/labels").collect()}
+    assert set(written) == {("bird", "inherited"), ("taxi", "regenerated")} and written["bird", "inherited"] == (30.0, 0.0, 40.0, 7.5, 37.5)
+    from samplewright.sources import labels
+
+    files = spark.createDataFrame([("images/train/a 1.png", 40, 30)], "relative_path string, width int, height int")
+    box = lambda form: {(r["image"], r["category"], *(round(r[e], 3) for e in ("x_min", "y_min", "x_max", "y_max", "area"))) for r in labels.of_samples(files, form, str(tmp_path / "in")).collect()}
+    assert box("coco") == box("yolo") == {("images/train/a 1.png", "block", 8.0, 6.0, 20.0, 20.0, 168.0), ("images/train/a 1.png", "bird", 30.0, 0.0, 40.0, 7.5, 37.5)}
+    recipe.write_text(json.dumps(doc | {"dataset": dataset | {"augment_splits": ["dev"]}}))
+    assert cli.main(["run", str(recipe), "--out", out]) == 1
