@@ -18,6 +18,7 @@ from samplewright.session import settle
 SUFFIXES = ("jpg", "jpeg", "png", "webp")
 METADATA = ("annotations", "labels", "metadata", "__MACOSX")
 MAX_PIXELS, MAX_SIDE = 64_000_000, 16_384
+HEAD = 65_536
 UNREAD = "only 8-bit PNG files without interlace are read"
 
 
@@ -66,18 +67,19 @@ def probe(data: bytes) -> dict[str, object]:
     return out | {"reason": "unknown format"}
 
 
+PARTS = ["kind", "width", "height", "duration_s", "reason"]
 _PROBED = "kind string, width int, height int, duration_s double, reason string"
 
 
 def _probe_all(heads: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([probe(bytes(h)) for h in heads], columns=["kind", "width", "height", "duration_s", "reason"])
+    return pd.DataFrame([dict.fromkeys(PARTS) if h is None else probe(bytes(h)) for h in heads], columns=PARTS).astype({"kind": object, "reason": object})
 
 
 def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """``relative_path, digest, size_bytes, kind, width, height, reason`` of every file that may be a sample.
 
     Hidden parts and metadata directories are passed over. Videos, unreadable headers and too large images stay in the result with a reason. Only
-    the head of a file crosses to Python.
+    the head of a file crosses to Python, but for JPEG files whose metadata reach beyond it: those are probed whole.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/")
@@ -87,8 +89,11 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
     passed = F.exists(parts, lambda p: p.startswith(".") | p.isin(*METADATA))
     suffix = F.lower(F.regexp_extract("relative_path", r"\.([^./]+)$", 1))
     files = files.filter(~passed & suffix.isin(*SUFFIXES, "mp4"))
-    head = F.substring("content", 1, 65536)
-    out = files.select("relative_path", F.sha2("content", 256).alias("digest"), F.col("length").alias("size_bytes"), F.pandas_udf(_probe_all, _PROBED)(head).alias("p")).select("relative_path", "digest", "size_bytes", "p.*")
+    find = F.pandas_udf(_probe_all, _PROBED)
+    files = files.withColumn("p", find(F.substring("content", 1, HEAD)))
+    beyond = (F.col("p.kind") == "jpeg") & F.col("p.reason").isNotNull() & (F.col("length") > HEAD)
+    files = files.withColumn("whole", find(F.when(beyond, F.col("content"))))
+    out = files.select("relative_path", F.sha2("content", 256).alias("digest"), F.col("length").alias("size_bytes"), F.when(beyond, F.col("whole")).otherwise(F.col("p")).alias("p")).select("relative_path", "digest", "size_bytes", "p.*")
     return out.withColumn("reason", refusal())
 
 

@@ -62,6 +62,15 @@ def test_discovery_and_ingest(spark, tmp_path):
     assert decoded["a"]["width"] == 8 and decoded["a"]["error"] is None and decoded["b"]["error"] and decoded["c"]["error"]
 
 
+def test_jpeg_with_metadata_beyond_the_head(spark, tmp_path):
+    segment = b"\xff\xe1\x80\x00" + bytes(RNG.integers(0, 255, 0x8000 - 2).astype(np.uint8))
+    frame = b"\xff\xc0\x00\x11\x08\x00\x20\x00\x30" + b"\0" * 20
+    for name, data in (("a", b"\xff\xd8" + segment * 3 + frame), ("b", b"\xff\xd8" + frame), ("c", b"\xff\xd8" + segment * 3)):
+        (tmp_path / f"{name}.jpg").write_bytes(data)
+    got = {r["relative_path"]: (r["kind"], r["width"], r["height"], r["reason"]) for r in images.discover(spark, str(tmp_path)).collect()}
+    assert got == {"a.jpg": ("jpeg", 48, 32, None), "b.jpg": ("jpeg", 48, 32, None), "c.jpg": ("jpeg", None, None, "no frame header")}
+
+
 LABELS = "image string, object_id string, category string, x_min double, y_min double, x_max double, y_max double, area double, iscrowd int, polygon array<double>, image_width double, image_height double"
 
 
