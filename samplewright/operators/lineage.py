@@ -51,20 +51,22 @@ def roots_in_many_splits(samples: DataFrame, root: str = "root") -> DataFrame:
     return samples.filter(F.col(root).isNotNull()).groupBy(root).agg(F.countDistinct("split").alias("n_splits"), F.count("*").alias("n_samples")).filter("n_splits > 1")
 
 
-def ancestors(edges: DataFrame, start: DataFrame, longest: int = 64) -> DataFrame:
+def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``id, ancestor, depth`` of every transitive parent, by the shortest way, for the ids of ``start``.
 
-    One join a generation on stored rows; ends when a generation adds nothing, so a cycle ends it too.
+    One join a generation on stored rows, however long the chain; ends when a generation adds nothing, so a cycle ends it too.
     """
     seen = settle(edges.join(start.select(F.col("id").alias("child")).distinct(), "child", "left_semi").select(F.col("child").alias("id"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "lineage")
-    front = seen
-    for depth in range(2, longest + 1):
+    front, depth = seen, 1
+    while True:
+        depth += 1
         step = front.join(edges, front["ancestor"] == edges["child"]).select("id", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
         front = settle(step.join(seen.select("id", "ancestor"), ["id", "ancestor"], "left_anti"), "lineage")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if depth % 32 == 0:  # else the plan of a long chain becomes a union of as many tables
+            seen = settle(seen, "lineage")
 
 
 ANCESTORS_SQL = """WITH RECURSIVE up AS (

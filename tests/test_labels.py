@@ -70,6 +70,12 @@ def test_ancestors_by_the_shortest_way_and_through_a_cycle(spark):
     assert got == {("b", 1), ("a", 1), ("c", 2)}
 
 
+def test_ancestors_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(67)], "child string, parent string").coalesce(1)
+    got = {(r["ancestor"], r["depth"]) for r in lineage.ancestors(edges, spark.createDataFrame([("n0",)], "id string")).collect()}
+    assert got == {(f"n{i}", i) for i in range(1, 68)}
+
+
 def test_leaks(spark):
     samples = spark.createDataFrame([("a", "train", "r"), ("b", "val", "r"), ("c", None, "q")], "id string, split string, root string")
     edges = spark.createDataFrame([("b", "a"), ("c", "a")], "child string, parent string")
