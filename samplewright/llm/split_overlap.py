@@ -1,15 +1,13 @@
 """Problem 3: records of evaluation splits that also appear in the training split.
 
-A record's value is a set of shingles, (position, digit) pairs: 64 binary digits of a perceptual
-hash, the first 16 hexadecimal digits of a content digest. Minwise hashes of such sets are put
-into bands, band values are buckets, and only buckets with a training and an evaluation value give
-candidates, which are verified by exact Jaccard similarity.
-
-Two hashes that differ in d bits share 64 - d of 64 + d shingles, so "at most 6 bits" is a Jaccard
-similarity of 58/70 or more. Random permutations would lose a share of those pairs. The
-permutations here put all shingles of one position first (the set holds exactly one of them, which is then its
-minimum), and a band is a choice of 2 of 8 groups of 8 positions: any two sets with at most 6
-differing positions agree in a whole band, so no pair is lost.
+The dealt method, minwise hashes of (position, digit) shingles in bands, is replaced by exact candidate
+generation; no shingle or minwise hash is computed. Perceptual hashes go through the segment index of
+problem 1 (``segments.index``): a bucket is a choice of 2 of 8 segments of 8 positions, so any two hashes
+with at most 6 differing positions share a whole bucket and no pair is lost. Content digests are joined on
+their first 16 hexadecimal digits and tested for a prefix. Only pairs of a training and an evaluation value are kept.
+
+As sets of 64 shingles, two hashes that differ in d bits share 64 - d of 64 + d, so "at most 6 bits" is
+a Jaccard similarity of 58/70 or more; candidates are verified by that value.
 
 All of this runs on distinct values. Confirmed value pairs are then spread into tiles of at most
 TILE x TILE records, so a value that a third of all records share becomes many small joins.
