@@ -89,7 +89,7 @@ def run(a) -> int:
     if usable.isEmpty():
         raise RuntimeError(f"no sample of {r.dataset.path} can be read; see {a.out}/refused")
     job = pipeline.run(usable, r)
-    for name in ("detections", "targets", "decided"):
+    for name in ("detections", "targets", "segments", "decided"):
         job[name].write.mode("overwrite").parquet(f"{a.out}/{name}")
     # Labels of every candidate: a review may still accept it.
     pipeline.labels(job, ("accepted", "needs_review", "rejected"), source).write.mode("overwrite").parquet(f"{a.out}/labels")

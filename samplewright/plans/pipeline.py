@@ -1,4 +1,6 @@
-"""The whole job as lazily built DataFrames: detect, select, plan, generate, refine, verify, measure, decide, rebuild.
+"""The whole job as lazily built DataFrames: detect, select, segment, analyse the scene, plan, generate, refine, verify, measure, decide, rebuild.
+
+Writing an export is a command of its own (:mod:`samplewright.cli`), since it needs reviews and a place.
 
 Pixels stay in the rows of their stage and cross a shuffle only where a sample meets its targets. A generation that cannot be
 repeated belongs behind :class:`samplewright.operators.backends.Ledger`; its results are stored before anything reads them.
@@ -34,12 +36,29 @@ def detect(images: DataFrame, recipe: Recipe, backend: backends.Backend = backen
     return found.withColumn("object_id", identity.object_id(asset, F.lit(0), F.col("class_name"), g.box(), F.col("score")))
 
 
+def segment(targets: DataFrame, images: DataFrame) -> DataFrame:
+    """Targets with the segmenter's ``mask``, ``area`` and ``polygon`` in place of the detector's; ``error_code`` says why one has no usable mask."""
+    found = backends.call(targets.drop("mask", "area").join(images, "sample_id"), backends.SEGMENTER)
+    return targets.drop("mask", "area").join(found, ["sample_id", "object_id"])
+
+
+def analyse(targets: DataFrame, images: DataFrame) -> DataFrame:
+    """Targets with light, contrast and background of their scene."""
+    scenes = backends.call(targets.select("sample_id", "object_id", "mask").join(images, "sample_id"), backends.SCENE)
+    return targets.join(scenes, ["sample_id", "object_id"])
+
+
 def plan(targets: DataFrame, values: Sequence[str], recipe: Recipe) -> DataFrame:
-    """One row per candidate: the target's categories in turn, each with its own key, prompt and seed path."""
+    """One row per candidate: the target's categories in turn, each with its own key, prompt and seed path.
+
+    The prompt ends with the background of the scene, unless the recipe names its place by ``{scene}``.
+    """
     n = recipe.replacement.candidates_per_object
     keys = F.array(*[F.struct(F.lit(i).alias("n"), F.lit(values[i % len(values)]).alias("category"), F.lit(f"candidate-{i}").alias("candidate_key")) for i in range(n)])
     rows = targets.select("*", F.inline(keys))
-    prompt = F.replace(F.replace(F.lit(recipe.replacement.prompt), F.lit("{value}"), F.col("category")), F.lit("{class}"), F.col("class_name"))
+    text = recipe.replacement.prompt
+    text = F.replace(F.lit(text if "{scene}" in text else f"{text}, {{scene}}"), F.lit("{scene}"), F.col("background")) if "background" in targets.columns else F.lit(text)
+    prompt = F.replace(F.replace(text, F.lit("{value}"), F.col("category")), F.lit("{class}"), F.col("class_name"))
     rows = rows.withColumn("candidate_id", identity.candidate_id(F.col("sample_id"), F.col("object_id"), F.col("candidate_key")))
     return rows.withColumn("prompt", prompt).withColumn("seed", F.pmod(F.xxhash64(F.lit(recipe.seed), "candidate_id"), F.lit(2**62)))
 
@@ -78,7 +97,10 @@ EVALUATOR = backends.Backend("builtin_metrics", ("quality.semantic_match.v1",),
 
 
 def run(images: DataFrame, recipe: Recipe) -> dict[str, DataFrame]:
-    """Relations of a job over images ``sample_id, width, height, pixels``: detections, targets, candidates, measured, decided."""
+    """Relations of a job over images ``sample_id, width, height, pixels``: detections, targets, segments, candidates, measured, decided, labels.
+
+    A target whose mask is refused stands in ``segments`` with its ``error_code`` and has no candidates.
+    """
     if not recipe.replacement.values:
         raise ValueError("replacement.values names no category")
     images = settle(images.select("sample_id", F.col("width").cast("int"), F.col("height").cast("int"), "pixels"), "job-images")
@@ -87,7 +109,9 @@ def run(images: DataFrame, recipe: Recipe) -> dict[str, DataFrame]:
     usable = detections.join(whole, "sample_id").filter(F.col("area") <= MOST_COVERAGE * F.col("all")).drop("all")
     t = recipe.target
     targets = select.select_targets(usable, t.classes, t.min_score, t.min_area_px, t.max_per_sample, t.order_by, t.strategy)
-    candidates = plan(targets.drop("ordinal"), recipe.replacement.values, recipe)
+    segments = settle(segment(targets.drop("ordinal"), images), "job-segments")
+    planned = analyse(segments.filter("error_code is null").drop("error_code"), images)
+    candidates = settle(plan(planned, recipe.replacement.values, recipe), "job-candidates")
     requests = candidates.join(images, "sample_id")
     made = settle(backends.call(requests, backends.generator(_schema(requests, "pixels"))), "job-generated")
     measured = settle(backends.call(made, EVALUATOR), "job-measured")
@@ -97,7 +121,8 @@ def run(images: DataFrame, recipe: Recipe) -> dict[str, DataFrame]:
     wide = measured.drop("pixels").withColumns({"image_width": F.col("width"), "image_height": F.col("height")})
     for outcome in (lambda d: outcomes.presence(d, q.minimum_target_presence), lambda d: outcomes.background(d, q.background_change_ceiling), outcomes.boundary, lambda d: outcomes.artifact(d, q.maximum_artifact_score), outcomes.geometry, lambda d: outcomes.annotation(d, 4.0)):
         wide = outcome(wide)
-    return {"images": images, "detections": detections, "targets": targets, "candidates": candidates, "measured": measured, "decided": gates.decide(wide, recipe.policy())}
+    job = {"images": images, "detections": detections, "targets": targets, "segments": segments, "candidates": candidates, "measured": measured, "decided": gates.decide(wide, recipe.policy())}
+    return job | {"labels": labels(job)}
 
 
 def _schema(df: DataFrame, without: str) -> str:

@@ -209,6 +209,18 @@ def test_images_with_several_objects(spark):
     assert made and all(m["count"] == 3 for m in made)
 
 
+def test_a_job_segments_analyses_and_labels(spark):
+    x = np.full((3, 30, 40), 0.45) + RNG.normal(0, 0.005, (3, 30, 40))
+    x[:, 8:20, 10:22] = np.array([0.1, 0.9, 0.2])[:, None, None]
+    x[:, 20:21, 10:22] = 0.59  # a weak lower edge, which the detector leaves out and the segmenter takes in
+    pictures = spark.createDataFrame([("s", 40, 30, bytearray(np.round(x * 255).astype(np.uint8).tobytes()))], "sample_id string, width int, height int, pixels binary")
+    job = pipeline.run(pictures, recipe.load({"name": "j", "dataset": {"path": "."}, "target": {"classes": ["block"]}, "replacement": {"values": ["sedan"]}, "quality": {"minimum_overall": 0.4}}))
+    assert job["detections"].first()["area"] == 144
+    made = job["candidates"].first()
+    assert made["area"] == sum(made["mask"]) == 156 and len(made["polygon"]) >= 8 and made["prompt"] == "a sedan in place of the block, a flat mid-tone background"
+    assert job["segments"].count() == 1 and {r["image"] for r in job["labels"].collect()} == {r["candidate_id"] for r in job["decided"].filter("decision = 'accepted'").collect()}
+
+
 def test_an_erased_object_is_rejected(spark):
     wide = spark.createDataFrame([("a", False, 0.0, 0.2)], "candidate_id string, found boolean, coverage double, expected_coverage double")
     from samplewright.operators import outcomes
