@@ -72,6 +72,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder for what this application stores; :func:`release` deletes it."""
+    return f"{shared_dir(spark)}/samplewright/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -80,7 +85,7 @@ def settle(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataF
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/samplewright/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
