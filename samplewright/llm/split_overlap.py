@@ -1,16 +1,16 @@
 """Problem 3: records of evaluation splits that also appear in the training split.
 
-The dealt method, minwise hashes of (position, digit) shingles in bands, is replaced by exact candidate
-generation; no shingle or minwise hash is computed. Perceptual hashes go through the segment index of
-problem 1 (``segments.index``): a bucket is a choice of 2 of 8 segments of 8 positions, so any two hashes
-with at most 6 differing positions share a whole bucket and no pair is lost. Content digests are joined on
-their first 16 hexadecimal digits and tested for a prefix. Only pairs of a training and an evaluation value are kept.
+Perceptual hashes are sets of 64 shingles, one (position, digit) for each binary digit, of 128 possible ones. A set's
+minwise hashes under seeded random permutations of the 128 shingles are laid into bands (:mod:`minwise`); only training and
+evaluation values that share a band are compared, and each such pair is verified by its exact Jaccard similarity. Two sets whose hashes differ
+in d bits share 64 - d of 64 + d shingles, so "at most 6 bits" is a similarity of 58/70 or more. Bands are chosen
+so that a pair right at that limit is missed with a probability of MISS at most; nearer pairs are missed far more seldom.
 
-As sets of 64 shingles, two hashes that differ in d bits share 64 - d of 64 + d, so "at most 6 bits" is
-a Jaccard similarity of 58/70 or more; candidates are verified by that value.
+Content digests are no sets: two are equal or not. They are joined on their first 16 hexadecimal digits and tested for a prefix.
 
 All of this runs on distinct values. Confirmed value pairs are then spread into tiles of at most
-TILE x TILE records, so a value that a third of all records share becomes many small joins.
+TILE x TILE records, so a value that a third of all records share becomes many small joins. The report needs no pairs of
+records: it counts them from the numbers of records per value, by inclusion and exclusion.
 
 Defined cases: splits other than the training and evaluation names take no part; missing or
 unreadable values equal nothing; repeated records count once (the latest by created_at); records
@@ -20,12 +20,13 @@ without an id are left out; a pair is given once however many of the three value
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.functions import clean
-from samplewright.llm import segments
+from samplewright.llm import minwise, segments
 from samplewright.llm.tables import latest
 from samplewright.session import settle
 
@@ -33,6 +34,9 @@ from samplewright.session import settle
 TILE = 1000
 #: Shingles shared of shingles held, for hashes with 6 of 64 bits differing.
 SHARED, UNION = 58, 70
+#: Probability at most of missing a pair of just that similarity.
+MISS = 1e-6
+VALUES = ("source", "output", "h")
 
 
 def records(provenance: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -52,12 +56,14 @@ def _jaccard_reached(a: Column, b: Column) -> Column:
     return (F.lit(64) - d) * UNION >= (F.lit(64) + d) * SHARED
 
 
-def _hash_buckets(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    left = segments.index(train.select(F.col("value").alias("a"), F.col("n").alias("na")), "a")
-    right = segments.index(evaluation.select(F.col("value").alias("b"), F.col("n").alias("nb")), "b").drop("before")
-    met = left.join(right, ["positions", "segment"])
-    return met.filter(_jaccard_reached(a, b) & ((a == b) & (F.col("positions") == 3) | (a != b) & segments.first_meeting(a, b, F.col("before")))).select("a", "b", "na", "nb")
+def _hash_bands(train: DataFrame, evaluation: DataFrame) -> DataFrame:
+    """Training and evaluation hashes that share a band and reach the similarity, with their counts."""
+    held = train.select(F.count("*").alias("n")).first()["n"]
+    rows, bands = minwise.banding(held, SHARED / UNION, MISS)
+    left = minwise.bands(train.select(F.col("value").alias("a")), rows, bands)
+    right = minwise.bands(evaluation.select(F.col("value").alias("b")), rows, bands)
+    met = left.join(right, "band").filter(_jaccard_reached(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    return met.join(train.select(F.col("value").alias("a"), F.col("n").alias("na")), "a").join(evaluation.select(F.col("value").alias("b"), F.col("n").alias("nb")), "b").select("a", "b", "na", "nb")
 
 
 def _digest_buckets(train: DataFrame, evaluation: DataFrame) -> DataFrame:
@@ -68,9 +74,9 @@ def _digest_buckets(train: DataFrame, evaluation: DataFrame) -> DataFrame:
 
 def value_pairs(rows: DataFrame, column: str) -> DataFrame:
     """Confirmed pairs of values over the split boundary: ``a`` (training), ``b`` (evaluation), record counts ``na``, ``nb``."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy((F.col("split") == "train").alias("train"), F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    counts = settle(rows.filter(F.col(column).isNotNull()).groupBy((F.col("split") == "train").alias("train"), F.col(column).alias("value")).agg(F.count("*").alias("n")), f"p3-values-{column}")
     train, evaluation = counts.filter("train"), counts.filter("not train")
-    return _hash_buckets(train, evaluation) if column == "h" else _digest_buckets(train, evaluation)
+    return _hash_bands(train, evaluation) if column == "h" else _digest_buckets(train, evaluation)
 
 
 def _tiles(pairs: DataFrame, rows: DataFrame, column: str, tile: int) -> DataFrame:
@@ -108,11 +114,31 @@ def found(provenance: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def report(provenance: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Counts per evaluation split and source digest: pairs, and distinct records on either side.
+    """Counts per evaluation split and source digest: pairs (by the first of source, output and hash that agrees) and records that have one.
 
-    Records whose source digest is missing are counted under a null source.
+    Records whose source digest is missing are counted under a null source. The number of pairs that agree in some of the three values
+    is a sum of products of record counts over confirmed value pairs; no pair of records is made.
     """
-    met = pairs(records(provenance, candidates)).select(F.col("e.split").alias("split"), F.col("e.source").alias("source_digest"), F.col("e.id").alias("e"), F.col("t.id").alias("t"), "by")
-    # One row a record first: the distinct counts then never hold a hot source's pairs in one task.
-    by_record = met.groupBy("split", "source_digest", "e").agg(F.count("*").alias("n"), *[F.count_if(F.col("by") == b).alias(b) for b in ("source", "output", "hash")])
-    return by_record.groupBy("split", "source_digest").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_records"), *[F.sum(b).alias(f"by_{b}") for b in ("source", "output", "hash")])
+    rows = settle(records(provenance, candidates), "p3-records")
+    near = {c: settle(value_pairs(rows, c).select("a", "b"), f"p3-{c}") for c in VALUES}
+    train, evaluation = rows.filter("split = 'train'"), rows.filter("split <> 'train'")
+    parts = []
+    for some in (s for n in (1, 2, 3) for s in combinations(VALUES, n)):
+        known = reduce(Column.__and__, [F.col(c).isNotNull() for c in some])
+        there = evaluation.filter(known).groupBy("split", *dict.fromkeys(["source", *some])).agg(F.count("*").alias("ne"))
+        for c in some:
+            there = there.join(near[c].select(F.col("b").alias(c), F.col("a").alias(f"a_{c}")), c)
+        here = train.filter(known).groupBy(*[F.col(c).alias(f"a_{c}") for c in some]).agg(F.count("*").alias("nt"))
+        n = F.sum(F.col("ne") * F.col("nt"))
+        # A pair counts for the last of its values, less those that agree in an earlier one too.
+        signed = n * (-1) ** (len(some) - 1)
+        parts.append(there.join(here, [f"a_{c}" for c in some]).groupBy("split", "source").agg(*[(signed if c == some[-1] else F.lit(0).cast("bigint")).alias(f"by_{c}") for c in VALUES]))
+    sums = reduce(DataFrame.unionByName, parts)
+    hit = evaluation.select("split", *VALUES)
+    for c in VALUES:
+        hit = hit.join(near[c].select(F.col("b").alias(c)).distinct().withColumn(f"hit_{c}", F.lit(True)), c, "left")
+    hit = hit.filter(reduce(Column.__or__, [F.col(f"hit_{c}").isNotNull() for c in VALUES])).groupBy("split", "source").agg(F.count("*").alias("n_records"))
+    every = [f"by_{c}" for c in VALUES]
+    counted = sums.withColumn("n_records", F.lit(0).cast("bigint")).unionByName(hit.select("split", "source", *[F.lit(0).cast("bigint").alias(c) for c in every], "n_records"))
+    counted = counted.groupBy("split", F.col("source").alias("source_digest")).agg(*[F.sum(c).alias(c) for c in [*every, "n_records"]])
+    return counted.select("split", "source_digest", reduce(Column.__add__, map(F.col, every)).alias("n_pairs"), "n_records", "by_source", "by_output", F.col("by_h").alias("by_hash"))

@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from samplewright.llm import band_topn, history_dedup, keep_fraction, percentile_sketch, segments, split_overlap
+from samplewright.llm import band_topn, history_dedup, keep_fraction, minwise, percentile_sketch, segments, split_overlap
 
 DATA = "/root/testdata/sf0.01"
 CAND = "candidate_id string, job_id string, sample_id string, target_object_id string, category string, state string, output_digest string, overall_score double, updated_at timestamp, cat string, n int, s double, h bigint"
@@ -152,12 +152,22 @@ def near_family(rng, n, most=8):
     return out
 
 
-def test_no_near_pair_is_lost_or_given_twice(spark):
-    values = sorted(set(near_family(random.Random(4), 400)))
-    want = {(signed(a), signed(b)) for a in values for b in values if a != b and bin(a ^ b).count("1") <= 6}
-    df = spark.createDataFrame([(signed(v),) for v in values], "h bigint")
-    got = [(r["a"], r["b"]) for r in segments.near_pairs(segments.index(df, "h"), segments.index(df, "h")).collect()]
+@pytest.mark.parametrize("pieces", [8, 9, 10])
+def test_no_near_pair_is_lost_or_given_twice(spark, pieces):
+    values = sorted(set(near_family(random.Random(4), 300)))
+    want = {(signed(a), signed(b), bin(a ^ b).count("1")) for a in values for b in values if bin(a ^ b).count("1") <= 6}
+    keys = segments.index(spark.createDataFrame([(signed(v),) for v in values], "h bigint"), "h", pieces)
+    got = [tuple(r) for r in segments.near_pairs(keys, keys, pieces).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    among = [tuple(r) for r in segments.near_among(keys, pieces).collect()]
+    assert len(among) == len(set(among)) and set(among) == {x for x in want if x[2]}
+
+
+def test_keys_grow_with_the_strings_so_that_buckets_do_not():
+    sizes = [10**k for k in range(11)]
+    pieces = [segments.pieces_for(n) for n in sizes]
+    assert pieces == sorted(pieces) and pieces[0] == 8
+    assert all(n / 2 ** (64 * (p - 6) // p) <= segments.BUCKET for n, p in zip(sizes, pieces, strict=True))
 
 
 # ---- problem 1 --------------------------------------------------------------------------------------------------
@@ -217,19 +227,60 @@ def test_the_stored_index_decides_batch_by_batch_like_one_pass(spark, tmp_path):
     rng = random.Random(9)
     pool = near_family(rng, 50)
     samples = [("source", hexes(rng, 64), rng.choice(pool)) for _ in range(10)]
-    batch = [(f"c{i:03}", i // 40, rng.choice([None, hexes(rng, 64)]), rng.choice(pool)) for i in range(120)]
+    batch = [(f"c{i:03}", i // 40, rng.choice([None, hexes(rng, 64), samples[0][1][:20]]), rng.choice(pool)) for i in range(120)]
     c, p, j, s = dedup_tables(spark, samples, batch)
     whole = {r[0] for r in history_dedup.found(c, p, j.withColumn("created_at", F.to_timestamp(F.concat(F.lit("2026-01-0"), F.substring("job_id", 2, 1).cast("int") + 1))), s).collect()}
-    index = history_dedup.DuplicateIndex(spark, str(tmp_path / "index"))
-    index.accept(history_dedup.history_values(s))
+    open_index = lambda: history_dedup.DuplicateIndex(spark, str(tmp_path / "index"), buckets=4)
+    index = open_index()
+    index.accept(history_dedup.history_values(s), "samples")
     cases = set()
     values = history_dedup.batch_values(c, p, j)
     for k in range(3):
+        index = open_index()
         part = values.join(c.filter(F.col("job_id") == f"j{k}").select(F.col("candidate_id").alias("id")), "id")
         out = index.check(part)
         cases |= {r["id"] for r in out.filter("not kept").collect()}
-        index.accept(part.join(out.filter("kept").select("id"), "id"))
+        kept = part.join(out.filter("kept").select("id"), "id")
+        index.accept(kept, f"job {k}")
+        index.accept(kept, f"job {k}")  # sent again
+        if k == 1:
+            index.compact(buckets=8, pieces=9)
+            open_index().accept(kept, f"job {k}")
     assert cases == whole and index.existing().count() == 10 + 120 - len(cases)
+    again = open_index()
+    assert (again.buckets, again.pieces) == (8, 9) and again.check(values).filter("kept").count() == 0
+    met = again.decide(values)[1]
+    firsts = {(r["kind"], r["near"]): r["ref"] for r in again.references(met).collect()}
+    assert firsts["d", samples[0][1]] == "s0"  # of equal members the one accepted first, also after merging
+
+
+def test_a_batch_that_broke_off_does_not_count_and_is_written_over(spark, tmp_path):
+    index = history_dedup.DuplicateIndex(spark, str(tmp_path / "index"), buckets=4)
+    rows = spark.createDataFrame([("a", "ab" * 32, 5)], "id string, d string, h bigint")
+    index.accept(rows, "one")
+    index.accept(rows, "two")
+    os.remove(tmp_path / "index/0/commits/two")
+    assert index.existing().count() == 1
+    index.accept(rows, "two")
+    assert index.existing().count() == 2
+
+
+def test_a_small_batch_reads_its_own_buckets_only(spark, tmp_path):
+    rng = random.Random(11)
+    index = history_dedup.DuplicateIndex(spark, str(tmp_path / "index"), buckets=512)
+    history = spark.createDataFrame([(f"s{i}", hexes(rng, 64), signed(rng.getrandbits(64))) for i in range(400)], "id string, d string, h bigint")
+    index.accept(history, "samples")
+
+    def files_read(n):
+        batch = history.limit(n).select(F.concat(F.lit("c"), "id").alias("id"), F.struct("id").alias("ord"), "d", "h")
+        keys = segments.index(batch.select("h"), "h")
+        stored = index._stored("segments", index._SEGMENTS, index._touched(keys))
+        return stored.select(F.input_file_name()).distinct().count()
+
+    whole = index._stored("segments", index._SEGMENTS).select(F.input_file_name()).distinct().count()
+    assert files_read(1) <= 28 and files_read(4) <= 4 * 28 and whole > 500
+    batch = history.limit(4).select(F.concat(F.lit("c"), "id").alias("id"), F.struct("id").alias("ord"), "d", F.col("h").bitwiseXOR(F.lit(5)).alias("h"))
+    assert index.check(batch).filter("not kept").count() == 4
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -281,6 +332,36 @@ def test_overlaps_against_all_pairs(spark, tile):
     assert all(r["n_pairs"] == r["by_source"] + r["by_output"] + r["by_hash"] for r in report)
 
 
+def test_minwise_hashes_are_the_lowest_rank_of_a_set():
+    rng = random.Random(5)
+    table, seen = minwise.ranks(20), [rng.getrandbits(64) for _ in range(30)]
+    import numpy as np
+
+    order = np.random.default_rng(minwise.SEED).permuted(np.tile(np.arange(128, dtype=np.uint8), (20, 1)), axis=1)
+    want = [[min(int(order[k, 2 * i + (v >> i & 1)]) for i in range(64)) for k in range(20)] for v in seen]
+    assert minwise.signatures(np.array([signed(v) for v in seen]), table).tolist() == want
+
+
+@pytest.mark.parametrize("strings", [10, 10_000, 10**8])
+def test_bands_miss_hardly_a_pair_at_the_limit(strings):
+    import numpy as np
+
+    rows, bands = minwise.banding(strings, 58 / 70, 1e-6)
+    assert (1 - (58 / 70) ** rows) ** bands <= 1e-6
+    rng = np.random.default_rng(strings)
+    a = rng.integers(-(2**63), 2**63, 300)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 6, replace=False)) for _ in a], dtype=np.uint64)
+    table = minwise.ranks(rows * bands)
+    left, right = (minwise.signatures(x, table).reshape(len(a), bands, rows) for x in (a, (a.view(np.uint64) ^ flips).view(np.int64)))
+    assert (left == right).all(-1).any(-1).all()
+
+
+def test_the_report_counts_a_hot_value_without_its_pairs(spark):
+    p, c = overlap_tables(spark, [(f"c{i:04}", "train" if i % 3 else "val", hexes(random.Random(i), 64) if i % 2 else None, None, 77) for i in range(3000)])
+    out = split_overlap.report(p, c).collect()
+    assert sum(r["n_pairs"] for r in out) == sum(r["by_hash"] for r in out) == 2000 * 1000 and sum(r["n_records"] for r in out) == 1000
+
+
 def test_overlaps_of_nothing(spark):
     p, c = overlap_tables(spark, [("a", "train", None, None, None)])
     assert split_overlap.found(p, c).count() == 0 and split_overlap.found(p.limit(0), c.limit(0)).count() == 0
