@@ -1,14 +1,15 @@
 """Problem 7: documents into containers of fixed capacity with little room left over.
 
 Hierarchical multi-length packing. Documents are routed to context-size tiers (the capacity, its half,
-its quarter, ...; a document's tier is the smallest that holds it). Tiers are packed from the
-longest: first the gaps left in longer windows are filled, tightest gap first, then new windows are opened for
-what remains. Containers are dealt to step groups in serpentine order of their attention cost (sum of squared lengths), so
-the containers of one step weigh nearly the same everywhere.
+its quarter, ...; a document's tier is the smallest that holds it). Each tier is packed on its own, into windows of its size, from the
+longest tier down: its own documents open the windows, then the gaps are filled from the shorter tiers, tightest gap first. Windows that come out full
+(SLACK) are sealed; 2, 4, 8, ... windows of one tier make a container. What could not be brought into a full window of any
+tier is packed tightest gap first into windows of the whole capacity. Containers are dealt to step groups in serpentine order of their attention cost (sum of
+squared lengths) within and across tiers, so the containers of one step weigh nearly the same everywhere.
 
 The decision depends only on how many items of each length there are, so it is made on that
 histogram: capacity + 1 numbers, however many documents. The plan is a list of slots,
-"items number r to r + n of length L lie in containers c...". Its size is bounded by the capacity too. Items
+"items number r to r + n of length L lie in windows w...". Its size is bounded by the capacity too. Items
 are numbered within their length by hash chunks of bounded size, so a length that a third of all
 documents share is numbered by many tasks.
 
@@ -20,7 +21,7 @@ out, repeated ids included; an empty table gives no rows.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ from samplewright.llm import bpe
 from samplewright.session import settle
 
 CAPACITY, STEP_CONTAINERS = 2048, 8
+#: A window is full if no more than this share of it is empty.
+SLACK = 1 / 2048
 #: Items of one length that one task numbers.
 CHUNK = 50_000
 
@@ -110,32 +113,63 @@ class _Windows:
         return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+def _length(content: list[tuple[int, int]]) -> int:
+    return sum(n * x for x, n in content)
+
+
+def _cost(content: list[tuple[int, int]]) -> int:
+    return sum(n * x * x for x, n in content)
+
+
+def _filled(windows: _Windows, own: dict[int, int], shorter: dict[int, int]) -> list[tuple[list[tuple[int, int]], int]]:
+    """Open windows for ``own`` items and fill their gaps with ``shorter`` ones, which are taken out of that histogram."""
+    for length in sorted(own, reverse=True):
+        if left := windows.fill(length, own[length]):
+            windows.open(length, left)
+    for length in sorted(shorter, reverse=True):
+        shorter[length] = windows.fill(length, shorter[length])
+    return windows.groups()
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, sizes: Sequence[int] | None = None) -> tuple[np.ndarray, int]:
     """Slots and number of containers for a histogram of item lengths from 0 to ``capacity``.
 
-    Slot columns: length, first item, first container, items of it per container, offset. Sorted by length and first item.
+    Slot columns: length, first item, address of the first window, address units of a window, items of it per window, offset in the window.
+    A container has 2 ** (number of tiers - 1) address units. Sorted by length and first item.
     """
-    windows = _Windows(capacity)
-    sizes = [*tiers(capacity), 0]
-    for longest, shorter in zip(sizes, sizes[1:], strict=False):
-        for length in sorted((x for x, n in histogram.items() if n and shorter < x <= longest), reverse=True):
-            if left := windows.fill(length, histogram[length]):
-                windows.open(length, left)
-    groups = sorted(windows.groups(), key=lambda g: (-sum(n * x * x for x, n in g[0]), g[0]))
+    sizes = list(sizes or tiers(capacity))
+    whole = 1 << len(sizes) - 1
+    left = {x: n for x, n in histogram.items() if x and n}
+    sealed: list[list[tuple[list[tuple[int, int]], int]]] = [[] for _ in sizes]
+    loose: dict[int, int] = {}
+    for i, size in enumerate(sizes):
+        below = sizes[i + 1] if i + 1 < len(sizes) else 0
+        own = {x: left.pop(x) for x in list(left) if x > below}
+        for content, windows in _filled(_Windows(size), own, left):
+            if size - _length(content) <= size * SLACK:
+                sealed[i].append((content, windows))
+            else:
+                for x, n in content:
+                    loose[x] = loose.get(x, 0) + n * windows
+        left = {x: n for x, n in left.items() if n}
+    sealed[0] += _filled(_Windows(capacity), loose, {})
     used: dict[int, int] = {}
-    slots, container = [], 0
-    for content, containers in groups:
-        offset = 0
-        for length, times in content:
-            first = used.get(length, 0)
-            slots.append((length, first, container, times, offset))
-            used[length] = first + times * containers
-            offset += length * times
-        container += containers
+    slots, address = [], 0
+    for i, groups in enumerate(sealed):
+        unit = whole >> i
+        for content, windows in sorted(groups, key=lambda g: (-_cost(g[0]), g[0])):
+            offset = 0
+            for length, times in content:
+                first = used.get(length, 0)
+                slots.append((length, first, address, unit, times, offset))
+                used[length] = first + times * windows
+                offset += length * times
+            address += unit * windows
+    containers = -(-address // whole)
     if histogram.get(0):
-        slots.append((0, 0, 0, 0, 0))
-        container = max(container, 1)
-    return np.array(sorted(slots), dtype=np.int64).reshape(-1, 5), container
+        slots.append((0, 0, 0, whole, 0, 0))
+        containers = max(containers, 1)
+    return np.array(sorted(slots), dtype=np.int64).reshape(-1, 6), containers
 
 
 def step_groups(container: np.ndarray, containers: int, per_step: int) -> np.ndarray:
@@ -148,7 +182,8 @@ def step_groups(container: np.ndarray, containers: int, per_step: int) -> np.nda
 def pack(lengths: DataFrame, capacity: int = CAPACITY, per_step: int = STEP_CONTAINERS, chunk: int = CHUNK) -> DataFrame:
     """Place ``doc_id, n_tokens`` rows; see the module for the columns' meaning.
 
-    Gives ``container_id, step_group, doc_id, part, tier, start_token, n_tokens, at_token``.
+    Gives ``container_id, step_group, doc_id, part, tier, window, start_token, n_tokens, at_token``: ``tier`` is the size that the item is
+    routed to, ``window`` the size of the window it lies in, ``at_token`` its place in the container.
     """
     spark = lengths.sparkSession
     parts = F.greatest(F.ceil(F.col("n_tokens") / capacity).cast("int"), F.lit(1))
@@ -164,6 +199,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, per_step: int = STEP_CONT
     within = F.row_number().over(W.partitionBy("len", "chunk").orderBy("doc_id", "part")) - 1
     numbered = numbered.withColumn("within", within).join(sizes, ["len", "chunk"]).select("doc_id", "part", "len", (F.col("base") + F.col("within")).alias("number"))
     windows = np.array(tiers(capacity)[::-1])
+    whole = 1 << len(windows) - 1
     kind = lengths.schema["doc_id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,16 +208,19 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, per_step: int = STEP_CONT
         for batch in batches:
             size, number = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
             part = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            _, first, container, times, offset = slots[np.searchsorted(starts, size * big + number, side="right") - 1].T
-            j = number - first
-            container = np.where(size == 0, number % max(containers, 1), container + j // np.maximum(times, 1))
-            at = np.where(size == 0, 0, offset + j % np.maximum(times, 1) * size)
+            _, first, address, unit, times, offset = slots[np.searchsorted(starts, size * big + number, side="right") - 1].T
+            window, at = np.divmod(number - first, np.maximum(times, 1))
+            container, inside = np.divmod(address + window * unit, whole)
+            at = inside * capacity // whole + offset + at * size
+            container, at = np.where(size == 0, number % max(containers, 1), container), np.where(size == 0, 0, at)
             tier = windows[np.minimum(np.searchsorted(windows, size), len(windows) - 1)]
-            columns = [container, step_groups(container, containers, per_step), batch.column(0), batch.column(1), pa.array(tier, pa.int32()), part * capacity, batch.column(2), pa.array(at, pa.int32())]
+            # A unit is the shortest window, so its size says which tier's window it is.
+            lies = windows[np.log2(np.maximum(unit, 1)).astype(int)]
+            columns = [container, step_groups(container, containers, per_step), batch.column(0), batch.column(1), pa.array(tier, pa.int32()), pa.array(lies, pa.int32()), part * capacity, batch.column(2), pa.array(at, pa.int32())]
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int64()) for x in columns], names)
 
-    names = ["container_id", "step_group", "doc_id", "part", "tier", "start_token", "n_tokens", "at_token"]
-    return numbered.mapInArrow(place, f"container_id bigint, step_group bigint, doc_id {kind}, part int, tier int, start_token bigint, n_tokens int, at_token int")
+    names = ["container_id", "step_group", "doc_id", "part", "tier", "window", "start_token", "n_tokens", "at_token"]
+    return numbered.mapInArrow(place, f"container_id bigint, step_group bigint, doc_id {kind}, part int, tier int, window int, start_token bigint, n_tokens int, at_token int")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, tokenizers: str = bpe.TOKENIZERS) -> DataFrame:

@@ -120,6 +120,22 @@ def test_step_groups_weigh_the_same(spark):
     assert full.max() <= 8 and cost.max() / cost.min() < 1.2 < in_order.max() / in_order.min()
 
 
+def test_tiers_shape_the_plan(spark):
+    rng = random.Random(3)
+    sizes = [rng.choice([rng.randint(33, 64), rng.randint(9, 32), rng.randint(1, 8)]) for _ in range(3000)]
+    histogram = {n: sizes.count(n) for n in set(sizes)}
+    tiered, flat = packing.plan(histogram, 64), packing.plan(histogram, 64, [64])
+    assert tiered[0].tolist() != flat[0].tolist() and abs(tiered[1] - flat[1]) <= 1 + flat[1] // 200
+    out = placed(spark, sizes, 64)
+    check_packing(out, sizes, 64)
+    assert set(out.window) > {64, 32} and (out.n_tokens <= out.window).all()
+    inside = out.at_token % out.window + out.n_tokens  # nothing crosses the end of its window
+    assert (inside <= out.window).all()
+    short = out[out.window < 64]
+    filled = short.assign(at=short.at_token // short.window).groupby(["container_id", "at"]).agg(used=("n_tokens", "sum"), window=("window", "max"))
+    assert (filled.used == filled.window).all()  # sealed windows are full
+
+
 def test_slots_are_bounded_by_the_capacity():
     rng = random.Random(2)
     few, many = ({x: rng.randint(1, 9) * k for x in range(1, 2049)} for k in (1, 100_000))
