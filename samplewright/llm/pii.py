@@ -217,6 +217,7 @@ _TOKEN = {
     "phone": re.compile(r"(?:\+|\b|(?=\())(?:\(?\d+\)?[\s./-]{0,2}\(?){1,8}\d+(?:\s?(?:ext|x|Durchwahl)\.?\s?\d+)?\b", re.IGNORECASE),
     "id_number": re.compile(r"\b[A-Z]{0,3}\s?\d[\dA-Z]*(?:[\s.-][\dA-Z]+)*\b"),
 }
+_INSIDE = {"email": lambda c: c.isalnum() or c in "._+%-@[]()" or c.isspace(), "phone": lambda c: c.isalnum() or c in "+()./-" or c.isspace(), "id_number": lambda c: c.isalnum() or c in ".-" or c.isspace()}
 _DIALLED = re.compile(r"[+(]{0,2}\d[\d\s().\-/]*\d(?:\s?(?:ext|x|Durchwahl)\.?\s?\d+)?", re.IGNORECASE)
 _EDGE = " \t\r\n 　,;:!?\"'“”„‘’«»<>|=，。；：、！？“”"
 _NEAR = 12
@@ -240,10 +241,19 @@ def _word_ends(text: str, start: int, end: int) -> tuple[int, int]:
 
 
 def _overlap(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
-    """The token of the kind's form that shares most characters with the place."""
-    low = max(0, start - 80)
+    """The token of the kind's form that shares most characters with the place.
+
+    It is sought in the stretch around the place that has no character foreign to the form, however long that is.
+    """
+    inside = _INSIDE[kind]
+    low = start
+    while low and inside(text[low - 1]):
+        low -= 1
+    high = end
+    while high < len(text) and inside(text[high]):
+        high += 1
     best, shared = None, 0
-    for m in _TOKEN[kind].finditer(text, low, min(len(text), end + 80)):
+    for m in _TOKEN[kind].finditer(text, low, high):
         common = min(end, m.end()) - max(start, m.start())
         if common > shared:
             best, shared = (m.start(), m.end()), common

@@ -178,6 +178,13 @@ def test_long_texts_and_window_edges():
     assert {long[s:e] for s, e, _ in found} == {"Imke Ruskast", "202-555-0147"}
 
 
+def test_a_place_is_grown_to_its_token_however_long():
+    mail = "a" + "b.c" * 100 + "@mail." + "example" * 40
+    text = f"Write to {mail}, please."
+    start = text.index(mail)
+    assert pii.check(text, start + 250, start + 310, "email") == (start, start + len(mail))
+
+
 def test_find_and_redact_on_tables(spark):
     text = "👩🏽‍🔧 Reviewed by Zoë Tovard on 2026-01-02.\r\nMail bounced: a.b@example.org, try c_d@example.net instead."
     df = documents(spark, [text, None, "", "nothing here", text], [3, 4, 5, 6, 3])
