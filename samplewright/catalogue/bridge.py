@@ -16,7 +16,9 @@ DETECTIONS_SQL = f"""det AS (SELECT l_orderkey AS sample_id, {KEY} AS object_id,
   CAST(l_partkey % 600 + 8 + l_quantity * 4 AS DOUBLE) AS x_max, CAST(l_suppkey % 400 + 8 + (l_partkey % 50) * 4 AS DOUBLE) AS y_max,
   CAST((8 + l_quantity * 4) * (8 + (l_partkey % 50) * 4) AS BIGINT) AS area, 800.0::DOUBLE AS image_width, 600.0::DOUBLE AS image_height FROM lineitem)"""
 
-EVIDENCE_SQL = f"""cand AS (SELECT {KEY} AS candidate_id, l_returnflag AS category, 1 - l_discount AS semantic_match, 1 - l_tax AS background_preservation,
+METRICS = ["semantic_match", "target_presence", "background_preservation", "mask_boundary", "geometry", "artifact_free", "annotation_consistency"]
+EVIDENCE_SQL = f"""cand AS (SELECT {KEY} AS candidate_id, l_returnflag AS category, 1 - l_discount AS semantic_match, least(0.5 + l_quantity / 40, 1.0) AS target_presence, 1 - l_tax AS background_preservation,
+  CASE WHEN l_linenumber = 4 THEN NULL ELSE 0.4 + l_quantity / 80 END AS mask_boundary, 1 - l_discount * l_tax * 20 AS geometry, CASE WHEN l_quantity = 50 THEN NULL ELSE 1 - l_tax * l_quantity / 25 END AS artifact_free,
   CASE WHEN l_quantity < 3 THEN NULL ELSE l_quantity / 50 END AS annotation_consistency FROM lineitem)"""
 
 
@@ -33,7 +35,7 @@ def evidence(spark, d):
 
 def long_evidence(spark, d):
     """Rows ``candidate_id, category, metric, value``."""
-    return evidence(spark, d).unpivot(["candidate_id", "category"], ["semantic_match", "background_preservation", "annotation_consistency"], "metric", "value")
+    return evidence(spark, d).unpivot(["candidate_id", "category"], METRICS, "metric", "value")
 
 
 def rasters(spark, d):

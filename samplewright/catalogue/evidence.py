@@ -4,51 +4,60 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from samplewright.catalogue.bridge import EVIDENCE_SQL, evidence, long_evidence
+from samplewright.catalogue.bridge import EVIDENCE_SQL, METRICS, evidence, long_evidence
 from samplewright.operators import gates, outcomes, report
 from samplewright.session import table
 
-POLICY = gates.Policy(0.90, 0.03, True, (gates.Gate("semantic_match", 0.95), gates.Gate("background_preservation", 0.94), gates.Gate("annotation_consistency", 0.20, "warn")))
-LOOSER = gates.Policy(0.85, 0.03, True, (gates.Gate("semantic_match", 0.92), gates.Gate("background_preservation", 0.94), gates.Gate("annotation_consistency", 0.10, "warn")))
-STRICT = gates.Policy(0.90, 0.0, False, POLICY.gates)
+_G = gates.Gate
+
+
+def _policy(minimum, band, allow, semantic, annotation):
+    return gates.Policy(minimum, band, allow, (_G("semantic_match", semantic), _G("target_presence", 0.6), _G("background_preservation", 0.94), _G("mask_boundary", 0.5, "warn"), _G("geometry", 0.92), _G("artifact_free", 0.9, "warn"), _G("annotation_consistency", annotation, "warn")))
+
+
+POLICY = _policy(0.85, 0.03, True, 0.95, 0.20)
+LOOSER = _policy(0.80, 0.03, True, 0.92, 0.10)
+STRICT = _policy(0.85, 0.0, False, 0.95, 0.20)
 
 
 def _decided(spark, d, policy=POLICY):
     return gates.decide(evidence(spark, d), policy)
 
 
-def _decide_sql(minimum, band, thresholds, suffix="", missing=False):
-    """The policy in SQL, independent of the operator: overall, per-gate states, decision."""
-    parts = {"semantic_match": (0.24, "hard"), "background_preservation": (0.22, "hard"), "annotation_consistency": (0.06, "warn")}
-    num = " + ".join(f"coalesce({m} * {w}::DOUBLE, 0)" for m, (w, _) in parts.items())
-    den = " + ".join(f"CASE WHEN {m} IS NULL THEN 0 ELSE {w}::DOUBLE END" for m, (w, _) in parts.items())
-    margin = {m: f"round({m} - {t}::DOUBLE, 9)" for m, t in zip(parts, thresholds)}
-    hard = [m for m, (_, s) in parts.items() if s == "hard"]
-    near = {m: f"({margin[m]} >= -{band} AND overall >= {minimum})" if band else "false" for m in hard}
-    failed = " OR ".join(f"coalesce({margin[m]} < 0 AND NOT {near[m]}, false)" for m in hard)
-    border = " OR ".join(f"coalesce({margin[m]} < 0 AND {near[m]}, false)" for m in hard)
-    warned = f"coalesce({margin['annotation_consistency']} < 0, false)"
-    absent = " OR ".join(f"{m} IS NULL" for m in parts) if missing else "false"
-    codes = ["CASE WHEN {0} THEN '{1}' END"]
-    fail_one = {m: f"coalesce({margin[m]} < 0, false)" for m in parts}
-    reason = {"semantic_match": "SEMANTIC_MISMATCH", "background_preservation": "BACKGROUND_CHANGED", "annotation_consistency": "ANNOTATION_MISMATCH"}
-    codes = [f"CASE WHEN {border} OR (NOT failed AND NOT border AND NOT low AND NOT gone AND warned AND overall < {minimum} + {band}) THEN 'REVIEW_BORDERLINE' END"]
-    codes += [f"CASE WHEN {fail_one[m]} THEN '{reason[m]}' END" for m in parts]
-    codes += ["CASE WHEN low THEN 'BELOW_MINIMUM_OVERALL' END", "CASE WHEN gone THEN 'EVALUATOR_FAILED' END"]
-    return f"""o{suffix} AS (SELECT *, round(({num}) / nullif({den}, 0), 6) AS overall FROM cand),
-f{suffix} AS (SELECT *, {failed} AS failed, {border} AS border, {warned} AS warned, {absent} AS gone FROM o{suffix}),
-l{suffix} AS (SELECT *, NOT failed AND overall < {minimum} AS low FROM f{suffix}),
-d{suffix} AS (SELECT *, CASE WHEN failed OR low OR gone THEN 'rejected' WHEN border THEN 'needs_review'
-  WHEN warned AND overall < {minimum} + {band} THEN 'needs_review' ELSE 'accepted' END AS decision,
-  list_sort([x FOR x IN [{', '.join(codes)}] IF x IS NOT NULL]) AS codes FROM l{suffix})"""
-
-
-BASE = f"WITH {EVIDENCE_SQL}, " + _decide_sql(0.90, 0.03, (0.95, 0.94, 0.20))
-STRICTLY = f"WITH {EVIDENCE_SQL}, " + _decide_sql(0.90, 0, (0.95, 0.94, 0.20), missing=True)
+def _decide_sql(minimum, band, semantic, annotation, suffix="", missing=False):
+    """The policy in SQL, independent of the operator: overall, the state of each gate, the decision and the codes in their order."""
+    d = lambda x: f"{x}::DOUBLE"
+    weight = dict(zip(METRICS, (0.24, 0.16, 0.22, 0.10, 0.12, 0.10, 0.06)))
+    reason = dict(zip(METRICS, ("SEMANTIC_MISMATCH", "OBJECT_NOT_FOUND", "BACKGROUND_CHANGED", "MASK_BOUNDARY_ARTIFACT", "GEOMETRY_VIOLATION", "ARTIFACT_DETECTED", "ANNOTATION_MISMATCH")))
+    least = dict(zip(METRICS, (semantic, 0.6, 0.94, 0.5, 0.92, 0.9, annotation)))
+    warns = ("mask_boundary", "artifact_free", "annotation_consistency")
+    hard = [m for m in METRICS if m not in warns]
+    den = " + ".join(f"CASE WHEN {m} IS NULL THEN 0::DOUBLE ELSE {d(w)} END" for m, w in weight.items())
+    num = " + ".join(f"coalesce({m} * ({d(w)} / den), 0::DOUBLE)" for m, w in weight.items())
+    below = {m: f"coalesce({m} < {d(t)}, false)" for m, t in least.items()}
+    near = {m: f"({below[m]} AND {m} - {d(t)} >= -{d(band)} AND raw >= {d(minimum)})" if band and m in hard else "false" for m, t in least.items()}
+    ors = lambda parts: "(" + " OR ".join(parts) + ")"
+    earlier = lambda m: ors(["false", *(near[h] for h in hard[: hard.index(m)])])
+    codes = []
+    for m in METRICS:
+        if m in hard:
+            codes.append(f"CASE WHEN {near[m]} AND NOT {earlier(m)} THEN 'REVIEW_BORDERLINE' END")
+        codes.append(f"CASE WHEN {below[m]} THEN '{reason[m]}' END")
+    codes += ["CASE WHEN low THEN 'BELOW_MINIMUM_OVERALL' END", "CASE WHEN gone THEN 'EVALUATOR_FAILED' END", "CASE WHEN NOT (failed OR low OR gone OR border) AND doubtful THEN 'REVIEW_BORDERLINE' END"]
+    return f"""w{suffix} AS (SELECT *, {den} AS den FROM cand), o{suffix} AS (SELECT *, least(greatest({num}, 0), 1) AS raw FROM w{suffix}),
+f{suffix} AS (SELECT *, round(raw, 6) AS overall, {ors(f'({below[m]} AND NOT {near[m]})' for m in hard)} AS failed, {ors(near.values())} AS border,
+  {ors(below[m] for m in warns)} AND raw < {d(minimum)} + {d(band)} AS doubtful, {ors(f'{m} IS NULL' for m in METRICS) if missing else 'false'} AS gone FROM o{suffix}),
+l{suffix} AS (SELECT *, NOT failed AND raw < {d(minimum)} AS low FROM f{suffix}),
+d{suffix} AS (SELECT *, CASE WHEN failed OR low OR gone THEN 'rejected' WHEN border OR doubtful THEN 'needs_review' ELSE 'accepted' END AS decision,
+  [x FOR x IN [{', '.join(codes)}] IF x IS NOT NULL] AS codes FROM l{suffix})"""
+
+
+BASE = f"WITH {EVIDENCE_SQL}, " + _decide_sql(0.85, 0.03, 0.95, 0.20)
+STRICTLY = f"WITH {EVIDENCE_SQL}, " + _decide_sql(0.85, 0, 0.95, 0.20, missing=True)
 
 
 def gate_decisions(spark, d):
-    return _decided(spark, d).select("candidate_id", "category", "overall", "decision", F.concat_ws(",", F.array_sort("reason_codes")).alias("codes"))
+    return _decided(spark, d).select("candidate_id", "category", "overall", "decision", F.concat_ws(",", "reason_codes").alias("codes"))
 
 
 def gate_decisions_long(spark, d):
@@ -57,7 +66,7 @@ def gate_decisions_long(spark, d):
 
 
 def gate_decisions_strict(spark, d):
-    return _decided(spark, d, STRICT).select("candidate_id", "decision", F.concat_ws(",", F.array_sort("reason_codes")).alias("codes"))
+    return _decided(spark, d, STRICT).select("candidate_id", "decision", F.concat_ws(",", "reason_codes").alias("codes"))
 
 
 def gate_overall(spark, d):
@@ -144,9 +153,8 @@ SQL = {
     "gate_reason_codes": f"{BASE} SELECT code AS reason_code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM d) GROUP BY code",
     "acceptance_by_category": f"""{BASE} SELECT category, count(*) AS n, count(*) FILTER (decision = 'accepted') AS accepted, count(*) FILTER (decision = 'rejected') AS rejected,
   count(*) FILTER (decision = 'needs_review') AS review, round(count(*) FILTER (decision = 'accepted') / count(*), 4) AS rate FROM d GROUP BY category""",
-    "metric_averages": f"""WITH {EVIDENCE_SQL}, long AS (SELECT category, 'semantic_match' AS metric, semantic_match AS value FROM cand UNION ALL SELECT category, 'background_preservation', background_preservation FROM cand
-  UNION ALL SELECT category, 'annotation_consistency', annotation_consistency FROM cand) SELECT category, metric, round(avg(value), 6) AS mean, count(value) AS n FROM long GROUP BY ALL""",
-    "policy_reevaluation_changed": f"{BASE}, {_decide_sql(0.85, 0.03, (0.92, 0.94, 0.10), '2')} SELECT category, d.decision AS old_decision, d2.decision AS new_decision, count(*) AS n FROM d JOIN d2 USING (candidate_id, category) GROUP BY ALL",
+    "metric_averages": f"WITH {EVIDENCE_SQL}, long AS (" + " UNION ALL ".join(f"SELECT category, '{m}' AS metric, {m}::DOUBLE AS value FROM cand" for m in METRICS) + ") SELECT category, metric, round(avg(value), 6) AS mean, count(value) AS n FROM long GROUP BY ALL",
+    "policy_reevaluation_changed": f"{BASE}, {_decide_sql(0.80, 0.03, 0.92, 0.10, '2')} SELECT category, d.decision AS old_decision, d2.decision AS new_decision, count(*) AS n FROM d JOIN d2 USING (candidate_id, category) GROUP BY ALL",
     "reason_histogram": "SELECT code AS reason_code, count(*) AS n FROM (SELECT unnest(CAST(reason_codes AS VARCHAR[])) AS code FROM (SELECT from_json(reason_codes, '[\"VARCHAR\"]') AS reason_codes FROM candidates)) GROUP BY code",
     "similarity_score": f"SELECT l_returnflag, round(avg({_unit('1 - greatest(0, l_discount) / 0.25::DOUBLE')}), 6) AS mean_similarity FROM lineitem GROUP BY 1",
     **OUTCOMES_SQL,

@@ -7,8 +7,11 @@ another policy to stored evidence is the same call with another policy.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +36,12 @@ class Gate:
     comparison: str = "at_least"
 
     def margin(self, value: Column) -> Column:
-        """Signed distance to the threshold, negative where the gate fails; rounded against float noise."""
-        gap = value - F.lit(self.threshold) if self.comparison == "at_least" else F.lit(self.threshold) - value
-        return F.round(gap, 9)
+        """Signed distance to the threshold, negative where the gate fails."""
+        return value - F.lit(self.threshold) if self.comparison == "at_least" else F.lit(self.threshold) - value
+
+    def passes(self, value: Column) -> Column:
+        """Compared as measured, without rounding."""
+        return value >= self.threshold if self.comparison == "at_least" else value <= self.threshold
 
 
 @dataclass(frozen=True)
@@ -52,17 +58,25 @@ class Policy:
         named = [*METRICS, *self.weights, *(g.metric for g in self.gates)]
         return list(dict.fromkeys(named))
 
+    @property
+    def digest(self) -> str:
+        """SHA-256 of the policy's canonical JSON; it is recorded with every decision, so that evidence can be told from evidence under another policy."""
+        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
     def weight(self, metric: str) -> float:
         return max(0.0, self.weights.get(metric, METRICS.get(metric, (0.0, ""))[0]))
 
 
 def overall(policy: Policy, metrics: Sequence[str]) -> Column:
-    """Weighted mean over the measured metrics; equal weights if theirs sum to nothing, 0 if nothing was measured."""
-    weighted = sum((F.coalesce(F.col(m) * policy.weight(m), F.lit(0.0)) for m in metrics), F.lit(0.0))
-    weights = sum((F.when(F.col(m).isNotNull(), policy.weight(m)).otherwise(0.0) for m in metrics), F.lit(0.0))
-    plain = sum((F.coalesce(F.col(m), F.lit(0.0)) for m in metrics), F.lit(0.0))
-    count = sum((F.when(F.col(m).isNotNull(), 1).otherwise(0) for m in metrics), F.lit(0))
-    return F.round(F.when(weights > 0, F.try_divide(weighted, weights)).when(count > 0, F.try_divide(plain, count)).otherwise(0.0), 6)
+    """Weighted mean over the measured metrics, unrounded; equal weights if theirs sum to nothing, 0 if nothing was measured."""
+    here = {m: F.col(m).isNotNull() for m in metrics}
+    total = sum((F.when(here[m], policy.weight(m)).otherwise(0.0) for m in metrics), F.lit(0.0))
+    weighted = sum((F.coalesce(F.col(m) * F.try_divide(F.lit(policy.weight(m)), total), F.lit(0.0)) for m in metrics), F.lit(0.0))
+    if all(policy.weight(m) > 0 for m in metrics):
+        return F.least(F.greatest(weighted, F.lit(0.0)), F.lit(1.0))
+    count = sum((F.when(here[m], 1).otherwise(0) for m in metrics), F.lit(0))
+    plain = sum((F.coalesce(F.try_divide(F.col(m), count), F.lit(0.0)) for m in metrics), F.lit(0.0))
+    return F.least(F.greatest(F.when(total > 0, weighted).otherwise(plain), F.lit(0.0)), F.lit(1.0))
 
 
 def widen(long: DataFrame, keys: Sequence[str], policy: Policy, codes: str | None = None) -> DataFrame:
@@ -73,39 +87,48 @@ def widen(long: DataFrame, keys: Sequence[str], policy: Policy, codes: str | Non
     return long.groupBy(*keys).agg(*columns)
 
 
+_PASSED, _MISSING, _BORDERLINE, _FAILED, _WARNED = range(5)
+
+
 def decide(wide: DataFrame, policy: Policy) -> DataFrame:
-    """Adds ``overall, failed_gates, borderline_gates, warned_gates, missing_gates, reason_codes, decision``.
+    """Adds ``overall, failed_gates, borderline_gates, warned_gates, missing_gates, reason_codes, decision, policy_hash``.
 
-    A metric column may be absent from ``wide``; codes in ``<metric>__codes`` win over the default ones.
+    A metric column may be absent from ``wide``; codes in ``<metric>__codes`` win over the default ones. Scores are compared as measured; ``overall`` is
+    rounded to six places where it is given out. The state of each gate is a small integer column, and the lists are put together from these only where they are asked for.
     """
     have = [m for m in policy.metrics if m in wide.columns]
-    scored = wide.withColumn("overall", overall(policy, have))
-    enough = F.col("overall") >= policy.minimum_overall
-    verdicts = []
-    for gate in policy.gates:
+    scored = wide.withColumn("__overall", overall(policy, have))
+    enough = F.col("__overall") >= policy.minimum_overall
+    states = {}
+    for i, gate in enumerate(policy.gates):
         value = F.col(gate.metric) if gate.metric in have else F.lit(None).cast("double")
-        margin = gate.margin(value)
-        near = (margin >= -policy.review_band) & enough if policy.review_band > 0 else F.lit(False)
-        failing = F.when(near, "borderline").otherwise("failed") if gate.severity == "hard" else F.lit("warned")
-        default = F.array(F.lit(METRICS[gate.metric][1])) if gate.metric in METRICS else F.array().cast("array<string>")
+        near = (gate.margin(value) >= -policy.review_band) & enough if policy.review_band > 0 else F.lit(False)
+        failing = F.when(near, _BORDERLINE).otherwise(_FAILED) if gate.severity == "hard" else F.lit(_WARNED)
+        states[f"__g{i}"] = F.when(value.isNull(), _MISSING).when(gate.passes(value), _PASSED).otherwise(failing)
+    judged = scored.withColumns(states) if states else scored
+    none = F.array().cast("array<string>")
+    some = lambda on, code: F.when(on, F.array(F.lit(code))).otherwise(none)
+    joined = lambda parts: F.flatten(F.array(*parts)) if parts else none
+    gates = [(F.col(f"__g{i}"), g) for i, g in enumerate(policy.gates)]
+    any_in = lambda state: reduce(Column.__or__, [at == state for at, _ in gates], F.lit(False))
+    in_state = lambda state, mark="": [some(at == state, g.metric + mark) for at, g in gates]
+    low = ~any_in(_FAILED) & ~enough
+    gone = F.lit(False) if policy.allow_missing else any_in(_MISSING)
+    rejected, review = any_in(_FAILED) | low | gone, any_in(_BORDERLINE)
+    doubtful = any_in(_WARNED) & (F.col("__overall") < policy.minimum_overall + policy.review_band)
+    failed = joined([*in_state(_FAILED), some(low, "overall"), *([] if policy.allow_missing else in_state(_MISSING, ":missing"))])
+    codes = []
+    for at, gate in gates:
+        default = F.array(F.lit(METRICS[gate.metric][1])) if gate.metric in METRICS else none
         own = f"{gate.metric}__codes"
-        codes = F.when(F.size(own) > 0, F.col(own)).otherwise(default) if own in wide.columns else default
-        state = F.when(value.isNull(), "missing").when(margin >= 0, "passed").otherwise(failing)
-        verdicts.append(F.struct(F.lit(gate.metric).alias("metric"), state.alias("state"), codes.alias("codes")))
-    judged = scored.withColumn("__v", F.array(*verdicts) if verdicts else F.array().cast("array<struct<metric:string,state:string,codes:array<string>>>"))
-    in_state = lambda s: F.transform(F.filter("__v", lambda v: v["state"] == s), lambda v: v["metric"])
-    hard_failed, missing = in_state("failed"), in_state("missing")
-    low = (F.size(hard_failed) == 0) & ~enough
-    refused = missing if not policy.allow_missing else F.array().cast("array<string>")
-    failed = F.concat(hard_failed, F.when(low, F.array(F.lit("overall"))).otherwise(F.array().cast("array<string>")), F.transform(refused, lambda m: F.concat(m, F.lit(":missing"))))
-    review = F.size(in_state("borderline")) > 0
-    doubtful = (F.size(in_state("warned")) > 0) & (F.col("overall") < policy.minimum_overall + policy.review_band)
-    gate_codes = F.flatten(F.transform(F.filter("__v", lambda v: v["state"].isin("failed", "borderline", "warned")), lambda v: F.when(v["state"] == "borderline", F.concat(F.array(F.lit("REVIEW_BORDERLINE")), v["codes"])).otherwise(v["codes"])))
-    extra = lambda on, code: F.when(on, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
-    rejected = F.size(failed) > 0
-    codes = F.array_distinct(F.concat(gate_codes, extra(low, "BELOW_MINIMUM_OVERALL"), extra(F.size(refused) > 0, "EVALUATOR_FAILED"), extra(~rejected & ~review & doubtful, "REVIEW_BORDERLINE")))
+        named = F.when(F.size(own) > 0, F.col(own)).otherwise(default) if own in wide.columns else default
+        codes.append(F.when(at.isin(_FAILED, _WARNED), named).when(at == _BORDERLINE, F.concat(F.array(F.lit("REVIEW_BORDERLINE")), named)).otherwise(none))
+    codes += [some(low, "BELOW_MINIMUM_OVERALL"), some(gone, "EVALUATOR_FAILED"), some(~rejected & ~review & doubtful, "REVIEW_BORDERLINE")]
     state = F.when(rejected, "rejected").when(review | doubtful, "needs_review").otherwise("accepted")
-    return judged.select(*[c for c in scored.columns], failed.alias("failed_gates"), in_state("borderline").alias("borderline_gates"), in_state("warned").alias("warned_gates"), missing.alias("missing_gates"), codes.alias("reason_codes"), state.alias("decision"))
+    return judged.select(
+        *wide.columns, F.round("__overall", 6).alias("overall"), failed.alias("failed_gates"), joined(in_state(_BORDERLINE)).alias("borderline_gates"), joined(in_state(_WARNED)).alias("warned_gates"),
+        joined(in_state(_MISSING)).alias("missing_gates"), F.array_distinct(joined(codes)).alias("reason_codes"), state.alias("decision"), F.lit(policy.digest).alias("policy_hash"),
+    )
 
 
 def reevaluate(wide: DataFrame, keys: Sequence[str], old: Policy, new: Policy) -> DataFrame:

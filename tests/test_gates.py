@@ -45,6 +45,21 @@ def test_long_and_wide_evidence_agree(spark):
     assert gates.decide(wide, POLICY).first()["decision"] == "accepted"
 
 
+def test_scores_are_judged_as_measured(spark):
+    """0.8999996 is below 0.90, and a margin of -0.03 and a little is outside of a band of 0.03."""
+    one = gates.Policy(0.90, 0.03, True, (G("semantic_match", 0.95),), {m: float(m == "semantic_match") for m in gates.METRICS})
+    df = spark.createDataFrame([("low", 0.8999996), ("out", 0.9199999999), ("in", 0.9200000001)], "id string, semantic_match double")
+    out = {r["id"]: r for r in gates.decide(df, one).collect()}
+    assert out["low"]["overall"] == 0.9 and out["low"]["decision"] == "rejected" and out["out"]["decision"] == "rejected" and out["in"]["decision"] == "needs_review"
+    assert out["in"]["reason_codes"] == ["REVIEW_BORDERLINE", "SEMANTIC_MISMATCH"]
+
+
+def test_the_policy_is_recorded(spark):
+    same, other = gates.Policy(0.9, 0.03, True, POLICY.gates), gates.Policy(0.9, 0.03, True, (*POLICY.gates[:2], G("mask_boundary", 0.61, "warn")))
+    assert same.digest == POLICY.digest != other.digest
+    assert decide(spark, [("a", 1.0, 1.0, 1.0)])["a"]["policy_hash"] == POLICY.digest
+
+
 def test_empty_input(spark):
     assert decide(spark, []) == {}
 
