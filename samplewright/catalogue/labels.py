@@ -237,7 +237,7 @@ SELECT sample_id, object_id, o_id AS other_id, CASE WHEN overlap_fraction <= 0 T
     "exact_duplicates": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING n > 1",
     "sample_identity": f"SELECT DISTINCT rel_path, 's_' || substr(sha256('{{\"path\":\"' || {_JSON.format('rel_path')} || '\",\"root\":\"' || root_digest || '\"}}'), 1, 16) AS id FROM samples",
     "object_identity": f"""{WITH} SELECT object_id, 'o_' || substr(sha256('{{"asset":"' || sha256(CAST(sample_id AS VARCHAR)) || '","box":[' || concat_ws(',', {_Q('x_min')}, {_Q('y_min')}, {_Q('x_max')}, {_Q('y_max')}) || '],"class":"' || class_name || '","frame":0,"score":' ||
-  CAST(CAST(CAST(round_even(score / 0.05::DOUBLE, 0) * 0.05::DOUBLE AS DECIMAL(30, 12)) AS DOUBLE) AS VARCHAR) || '}}'), 1, 12) AS id FROM det""",
+  CAST(round_even(score / 0.05::DOUBLE, 0) * 0.05::DOUBLE AS VARCHAR) || '}}'), 1, 12) AS id FROM det""",
     "candidate_identity": "SELECT DISTINCT sample_id, target_object_id, candidate_key, 'c_' || substr(sha256('{\"key\":\"' || candidate_key || '\",\"object\":\"' || target_object_id || '\",\"sample\":\"' || sample_id || '\"}'), 1, 16) AS id FROM candidates",
     "ahash_raster": f"WITH {COARSE_SQL} SELECT id, CASE WHEN hash > 9223372036854775807 THEN CAST(hash::HUGEINT - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST(hash AS BIGINT) END AS hash FROM hashed",
     "near_duplicate_pairs": f"WITH {COARSE_SQL}, v AS (SELECT hash, count(*) AS n FROM coarse GROUP BY hash) SELECT CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance, count(*) AS value_pairs, CAST(sum(a.n * b.n) AS BIGINT) AS row_pairs FROM v a JOIN v b ON a.hash < b.hash WHERE bit_count(xor(a.hash, b.hash)) <= 3 GROUP BY 1",

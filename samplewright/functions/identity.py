@@ -10,15 +10,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Characters that a JSON string cannot hold as they are.
+_ESCAPED = '["\\\\\\x00-\\x1f]'
+#: Texts of the multiples of 0.05 from 0 to 1 as Python prints their products: 0.7000000000000001 for the fourteenth.
+_TWENTIETHS = [repr(k * 0.05) for k in range(21)]
+
+
 def text(value: Column) -> Column:
-    """A JSON string without escapes beyond quote, backslash and control characters."""
-    return F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":|\}$', "")
+    """A JSON string; ``to_json`` is asked only for one with a quote, a backslash or a control character."""
+    plain = F.concat(F.lit('"'), value, F.lit('"'))
+    return F.when(value.rlike(_ESCAPED), F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r'^\{"v":|\}$', "")).otherwise(plain)
 
 
 def number(value: Column) -> Column:
-    """A whole or fractional number as Python prints it: 3.0, 0.25; -0.0 as 0.0."""
-    positive = F.when(value == 0, F.lit(0.0)).otherwise(value)
-    return positive.cast("decimal(38,12)").cast("double").cast("string")
+    """A whole or fractional number as Python prints it: 3.0, 0.25; -0.0 as 0.0. Whole numbers are not sent through the printing of fractions."""
+    whole = F.when(F.abs(value) < 1e15, value).try_cast("bigint")
+    return F.when(value == whole, F.concat(whole.cast("string"), F.lit(".0"))).otherwise(value.cast("string"))
+
+
+def score_text(score: Column) -> Column:
+    """A score rounded to a multiple of 0.05, as Python prints it."""
+    step = F.rint(score / 0.05).try_cast("int")
+    return F.when(step.between(0, 20), F.get(F.array(*map(F.lit, _TWENTIETHS)), step)).otherwise(number(quantise(score, 0.05)))
 
 
 def record(fields: dict[str, Column]) -> Column:
@@ -45,7 +58,7 @@ def sample_id(root_digest: Column, path: Column) -> Column:
 def object_id(asset: Column, frame: Column, class_name: Column, box: dict[str, Column], score: Column) -> Column:
     """Of an object in a frame; box and score are quantised so that jitter keeps the identity."""
     edges = F.concat(F.lit("["), F.concat_ws(",", *[number(quantise(box[e], 2.0)) for e in ("x_min", "y_min", "x_max", "y_max")]), F.lit("]"))
-    return identifier("o_", record({"asset": text(asset), "frame": frame.cast("string"), "class": text(class_name), "box": edges, "score": number(quantise(score, 0.05))}), 12)
+    return identifier("o_", record({"asset": text(asset), "frame": frame.cast("string"), "class": text(class_name), "box": edges, "score": score_text(score)}), 12)
 
 
 def candidate_id(sample: Column, target: Column, key: Column) -> Column:

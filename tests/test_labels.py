@@ -55,6 +55,19 @@ def test_identities(spark):
     assert made == "o_" + hashlib.sha256(b'{"asset":"x","box":[0.0,0.0,10.0,22.0],"class":"c","frame":0,"score":0.5}').hexdigest()[:12]
 
 
+def test_object_ids_are_those_of_python(spark):
+    """Every multiple of 0.05 as Python multiplies and prints it, and names that JSON must escape."""
+    import hashlib
+    import json
+
+    rows = [(f'c"{i}\\\n', i / 40, 1.5 * i) for i in range(41)]
+    box = {e: F.col("x") + k for k, e in enumerate(g.EDGES)}
+    made = [r[0] for r in spark.createDataFrame(rows, "name string, score double, x double").coalesce(1).select(identity.object_id(F.lit("x"), F.lit(3), F.col("name"), box, F.col("score"))).collect()]
+    q = lambda v, by: round(v / by) * by + 0.0
+    texts = [json.dumps({"asset": "x", "box": [q(x + k, 2.0) for k in range(4)], "class": n, "frame": 3, "score": q(s, 0.05)}, separators=(",", ":"), ensure_ascii=False) for n, s, x in rows]
+    assert made == ["o_" + hashlib.sha256(t.encode()).hexdigest()[:12] for t in texts] and any("0.7000000000000001" in t for t in texts)
+
+
 def test_splits(spark):
     f = lambda fn, p: spark.range(1).select(fn(F.lit(p))).first()[0]
     assert f(lineage.split_from_directory, "x/Valid/a.png") == "val"
