@@ -209,4 +209,15 @@ def scene_analysis(spark, d):
     return backends.call(found.join(scenes, "sample_id"), backends.SCENE)
 
 
-QUERIES |= {"segment_targets": segment_targets, "scene_analysis": scene_analysis}
+def colour_change(spark, d):
+    """Rasters in three channels against themselves with two channels exchanged: the same brightness in another colour."""
+    grey = F.transform("pixels", lambda v: F.least(F.abs(v) * 2, F.lit(1.0)))
+    other, level = F.transform(grey, lambda v: 1 - v), F.transform(grey, lambda v: F.lit(0.5))
+    none = F.transform(F.concat(grey), lambda v: F.lit(False))
+    pairs = rasters(spark, d).select("id", F.concat(grey, level, other).alias("source"), F.concat(other, level, grey).alias("produced"), F.lit(8).alias("width"), F.lit(8).alias("height"), none.alias("source_mask"), none.alias("mask"))
+    return raster.measure(pairs).select("id", "ssim", "changed_ratio", "mean_delta")
+
+
+SQL["colour_change"] = """WITH px AS (SELECT vec_id AS id, [abs(2 * least(abs(v) * 2, 1.0::DOUBLE) - 1) * 2 / 3 FOR v IN embedding::DOUBLE[]] AS delta FROM embeddings)
+SELECT id, 1.0::DOUBLE AS ssim, round(len([1 FOR x IN delta IF x > 0.1::DOUBLE]) / 64, 6) AS changed_ratio, round(list_sum(delta) / 64, 6) AS mean_delta FROM px"""
+QUERIES |= {"colour_change": colour_change, "segment_targets": segment_targets, "scene_analysis": scene_analysis}

@@ -113,14 +113,24 @@ def components(mask: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(labels(mask)[mask], return_counts=True)[1])[::-1]
 
 
+def difference(a: np.ndarray, b: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Absolute difference a pixel; images with channels (one axis more than the masks) are compared channel by channel, then averaged."""
+    delta = np.abs(a - b)
+    return delta.mean(1) if delta.ndim > masks.ndim else delta
+
+
 def background(source: np.ndarray, produced: np.ndarray, masks: np.ndarray, feather: int = 2, threshold: float = 0.10) -> dict[str, np.ndarray]:
-    """What changed outside the mask and its seam; nothing outside counts as unchanged."""
+    """What changed outside the mask and its seam; nothing outside counts as unchanged.
+
+    Images are grey, or have their channels on the second axis: a change of colour that keeps the brightness is a change. SSIM alone looks at the grey image.
+    """
     outside = ~dilate(masks, feather)
     some = outside.any((-2, -1))
-    delta = np.abs(source - produced)
-    soft = np.abs(window_mean(source, 2) - window_mean(produced, 2))
+    delta = difference(source, produced, masks)
+    soft = difference(window_mean(source, 2), window_mean(produced, 2), masks)
+    flat = lambda x: x.mean(1) if x.ndim > masks.ndim else x
     return {
-        "ssim": np.where(some, ssim(source, produced, outside), 1.0),
+        "ssim": np.where(some, ssim(flat(source), flat(produced), outside), 1.0),
         "changed_ratio": _mean_where(delta > threshold, outside),
         "mean_delta": _mean_where(delta, outside),
         "perceptual_delta": np.where(some, unit(1 - _mean_where(soft, outside) / 0.25), 1.0),
@@ -274,11 +284,15 @@ def perceptual_hashes(images: np.ndarray) -> dict[str, np.ndarray]:
 # ---- batch functions -----------------------------------------------------------------------------------------
 
 
+def colour(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Stack of images in [0, 1] with up to three channels on the second axis, from flat rows."""
+    flat = np.asarray(pixels, dtype=np.float64).reshape(len(pixels), -1, height, width)[:, :3]
+    return np.where(flat.max((-3, -2, -1), keepdims=True) > 1.5, flat / 255, flat)
+
+
 def grey(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     """Stack of grey images in [0, 1] from flat rows of one or more channels."""
-    flat = np.asarray(pixels, dtype=np.float64).reshape(len(pixels), -1, height, width)
-    image = flat[:, :3].mean(1)
-    return np.where(image.max((-2, -1), keepdims=True) > 1.5, image / 255, image)
+    return colour(pixels, height, width).mean(1)
 
 
 def by_shape(kernel: Callable[[pd.DataFrame, int, int], dict[str, np.ndarray]], keep: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -325,13 +339,14 @@ def measure(pairs: DataFrame) -> DataFrame:
     masked = "mask" in pairs.columns
 
     def kernel(rows: pd.DataFrame, h: int, w: int) -> dict[str, np.ndarray]:
-        a, b = (grey(rows[c].tolist(), h, w) for c in ("source", "produced"))
+        before, after = (colour(rows[c].tolist(), h, w) for c in ("source", "produced"))
+        a, b = before.mean(1), after.mean(1)
         if masked:
             ma, mb = (np.array(rows[c].tolist(), bool).reshape(-1, h, w) for c in ("source_mask", "mask"))
         else:
             ma, mb = (x > x.mean((-2, -1), keepdims=True) for x in (a, b))
         union = (ma | mb).sum((-2, -1))
-        out = {**background(a, b, ma), **boundary(b, mb), **artifacts(b, mb), **movement(ma, mb), "mask_iou": np.where(union > 0, (ma & mb).sum((-2, -1)) / np.maximum(union, 1), 0.0), "coverage": mb.mean((-2, -1))}
+        out = {**background(before, after, ma), **boundary(b, mb), **artifacts(b, mb), **movement(ma, mb), "mask_iou": np.where(union > 0, (ma & mb).sum((-2, -1)) / np.maximum(union, 1), 0.0), "coverage": mb.mean((-2, -1))}
         return {m: np.round(out[m], 6) for m in MEASURES}
 
     columns = ["id", "source", "produced", "width", "height", *(["source_mask", "mask"] if masked else [])]

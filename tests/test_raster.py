@@ -93,3 +93,10 @@ def test_measure_handles_several_shapes_in_a_batch(spark):
     df = spark.createDataFrame(rows, "id string, source array<double>, produced array<double>, width int, height int")
     out = {r["id"]: r for r in raster.measure(df).collect()}
     assert out["a"]["ssim"] == 1.0 and out["b"]["changed_ratio"] == 1.0 and out["a"]["interior_area"] is None
+
+
+def test_a_change_of_colour_at_equal_brightness_is_seen():
+    red, blue = np.zeros((1, 3, 12, 12)), np.zeros((1, 3, 12, 12))
+    red[:, 0], blue[:, 2] = 0.8, 0.8
+    out = raster.background(red, blue, np.zeros((1, 12, 12), bool))
+    assert out["changed_ratio"][0] == 1 and abs(out["mean_delta"][0] - 1.6 / 3) < 1e-12 and out["perceptual_delta"][0] == 0 and out["ssim"][0] == 1
