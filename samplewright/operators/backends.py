@@ -8,7 +8,7 @@ marked as demo and refused for production by :mod:`samplewright.plans.guard`.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -167,26 +167,12 @@ def _difference(images: np.ndarray) -> np.ndarray:
 
 
 def _largest(mask: np.ndarray) -> np.ndarray:
-    """The largest 4-connected part, found by flooding from the densest pixel of each guess."""
-    sizes = raster.components(mask)
-    if len(sizes) <= 1:
+    """The largest 4-connected part; of equal ones the first."""
+    if not mask.any():
         return mask
-    left = mask.copy()
-    best = np.zeros_like(mask)
-    while left.any():
-        seed = np.zeros_like(mask)
-        seed[np.unravel_index(left.argmax(), left.shape)] = True
-        while True:
-            grown = raster.dilate(seed) & mask
-            if (grown == seed).all():
-                break
-            seed = grown
-        if seed.sum() > best.sum():
-            best = seed
-        left &= ~seed
-        if best.sum() >= sizes[0]:
-            break
-    return best
+    labels = raster.labels(mask)
+    names, sizes = np.unique(labels[mask], return_counts=True)
+    return labels == names[sizes.argmax()]
 
 
 def _each_shape(kernel):
@@ -197,38 +183,53 @@ def _each_shape(kernel):
     return run
 
 
-#: A part of fewer pixels is no object; nor is one below this share of the image, unless it is the largest.
-LEAST_AREA, LEAST_SHARE = 4, 0.002
+#: A part of fewer pixels is no object.
+LEAST_AREA = 4
+# Fixed values of the built-in detector: luminance weights, thresholds of luminance and colour, share of the image that a part must have, least side of an
+# image, and the score's base and its parts for contrast (full at 0.35) and size (full at a tenth of the image).
+LUMINANCE, LIGHT, SPREAD, COLOUR, LEAST_SHARE, LEAST_SIDE = (0.299, 0.587, 0.114), 0.16, 2.5, 0.14, 0.002, 8
+SCORE_BASE, SCORE_CONTRAST, FULL_CONTRAST, SCORE_SIZE, FULL_SIZE = 0.45, 0.40, 0.35, 0.15, 0.10
 
 
-def _salient(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance to the border's colour, and where it stands out."""
-    delta = _difference(images)
-    return delta, delta > np.maximum(0.12, delta.mean((-2, -1), keepdims=True) + delta.std((-2, -1), keepdims=True))
+def _border(images: np.ndarray) -> np.ndarray:
+    """The two outermost rows and columns of each image, flat, on the last axis."""
+    flat = lambda x: x.reshape(*x.shape[:-2], -1)
+    return np.concatenate([flat(images[..., :2, :]), flat(images[..., -2:, :]), flat(images[..., :2]), flat(images[..., -2:])], -1)
 
 
-def _parts(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels of the pixels, and the label and area of each 4-connected part that may be an object, largest first."""
-    labels = raster.labels(mask)
-    names, areas = np.unique(labels[mask], return_counts=True)
-    order = np.argsort(-areas, kind="stable")
-    names, areas = names[order], areas[order]
-    large = (areas >= LEAST_AREA) & ((areas >= int(LEAST_SHARE * mask.size)) | (np.arange(len(areas)) == 0))
-    return labels, names[large], areas[large]
-
-
-def _saliency(rows: pd.DataFrame, h: int, w: int) -> pd.DataFrame:
-    delta, salient = _salient(stack(rows, "pixels", h, w))
-    owner, parts = [], []
-    for i, m in enumerate(salient):
-        labels, names, _ = _parts(m)
-        owner += [i] * len(names)
-        parts += [labels == n for n in names]
+def _salient(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Difference in luminance from the border, and where luminance or colour stand out from it, freed of single pixels."""
+    light = np.tensordot(np.array(LUMINANCE), images, (0, 1))
+    edge = _border(light)
+    level = np.median(edge, -1)[:, None]
+    noise = np.median(np.abs(edge - level), -1) + 1e-3
+    away = np.abs(light - level[..., None])
+    tint = np.sqrt(((images - np.median(_border(images), -1)[..., None, None]) ** 2).sum(1))
+    found = (away > np.maximum(LIGHT, noise * SPREAD)[:, None, None]) | (tint > COLOUR)
+    return away, raster.dilate(raster.erode(found))
+
+
+def _saliency(rows: pd.DataFrame, h: int, w: int, classes: Sequence[str], least_score: float, most: int) -> pd.DataFrame:
+    owner, rank, scores, parts = [], [], [], []
+    if len(rows) and min(h, w) >= LEAST_SIDE:
+        for i, (away, m) in enumerate(zip(*_salient(stack(rows, "pixels", h, w)), strict=True)):
+            labels = raster.labels(m)
+            names, part, areas = np.unique(labels[m], return_inverse=True, return_counts=True)
+            contrast = np.bincount(part, away[m], len(names)) / np.maximum(areas, 1)
+            score = raster.unit(SCORE_BASE + SCORE_CONTRAST * np.minimum(1, contrast / FULL_CONTRAST) + SCORE_SIZE * raster.unit(areas / (h * w * FULL_SIZE)))
+            order = [k for k in np.lexsort((-areas, -score)) if areas[k] >= max(1, int(LEAST_SHARE * m.size))]
+            for r, k in [(r, k) for r, k in enumerate(order) if score[k] >= least_score][:most]:
+                owner.append(i)
+                rank.append(r)
+                scores.append(score[k])
+                parts.append(labels == names[k])
     found = np.stack(parts) if parts else np.zeros((0, h, w), bool)
     s = raster.shape_of(found)
-    score = [raster._mean_where(delta[i], m) / max(delta[i].max(), 1e-9) for i, m in zip(owner, found, strict=True)]
-    named = rows[["sample_id", "class_name"]].iloc[owner].reset_index(drop=True)
-    return named.assign(score=np.round(np.array(score, float), 6), **{e: s[e].astype(float) for e in ("x_min", "y_min", "x_max", "y_max")}, area=s["area"].astype("int64"), mask=pack_masks(found))
+    named = rows[["sample_id"]].iloc[owner].reset_index(drop=True)
+    # A label of the image's own wins; else the classes are dealt in turn, in order of the score.
+    own = rows["class_name"].iloc[owner].tolist() if "class_name" in rows else [None] * len(owner)
+    dealt = [o if isinstance(o, str) else classes[r % len(classes)] for o, r in zip(own, rank, strict=True)]
+    return named.assign(class_name=dealt, score=np.round(np.array(scores, float), 6), **{e: s[e].astype(float) for e in ("x_min", "y_min", "x_max", "y_max")}, area=s["area"].astype("int64"), mask=pack_masks(found))
 
 
 def redetect(images: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -251,7 +252,20 @@ def redetect(images: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-SALIENCY = Backend("builtin_detector", ("object.detection.v1", "object.segmentation.v1"), _each_shape(_saliency), "sample_id string, class_name string, score double, x_min double, y_min double, x_max double, y_max double, area bigint, mask binary")
+def detector(classes: Sequence[str] = ("object",), vocabulary: Sequence[str] | None = None, least_score: float = 0.0, most: int = 100) -> Backend:
+    """Parts that stand out from an image's border, the best score first, at most ``most`` an image.
+
+    It can name the classes of ``vocabulary`` only: what is asked for beyond it is not detected, and with nothing left there are no detections.
+    """
+    known = sorted(set(classes) & set(vocabulary) if vocabulary is not None else set(classes))
+
+    def kernel(rows: pd.DataFrame, h: int, w: int) -> pd.DataFrame:
+        return _saliency(rows if known else rows.iloc[:0], h, w, known, least_score, most)
+
+    return Backend("builtin_detector", ("object.detection.v1", "object.segmentation.v1"), _each_shape(kernel), "sample_id string, class_name string, score double, x_min double, y_min double, x_max double, y_max double, area bigint, mask binary")
+
+
+SALIENCY = detector()
 
 
 def _segment(rows: pd.DataFrame, h: int, w: int) -> pd.DataFrame:

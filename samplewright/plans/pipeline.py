@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.functions import geometry as g
-from samplewright.functions import identity
+from samplewright.functions import identity, seeds
 from samplewright.operators import annotations, backends, gates, outcomes, raster, select
 from samplewright.plans.recipe import Recipe
 from samplewright.session import settle, ship
@@ -25,13 +25,12 @@ from samplewright.session import settle, ship
 MOST_COVERAGE, LEAST_IOU = 0.98, 0.15
 
 
-def detect(images: DataFrame, recipe: Recipe, backend: backends.Backend = backends.SALIENCY) -> DataFrame:
+def detect(images: DataFrame, recipe: Recipe, backend: backends.Backend | None = None) -> DataFrame:
     """Detections of images ``sample_id, width, height, pixels[, class_name]``, one for each part that stands out, with content-derived object ids.
 
-    Empty masks and masks of nearly the whole image are no objects.
+    The built-in detector is asked for the recipe's target classes. Empty masks and masks of nearly the whole image are no objects.
     """
-    named = images if "class_name" in images.columns else images.withColumn("class_name", F.lit((recipe.target.classes or ("object",))[0]))
-    found = backends.call(named.select("sample_id", "width", "height", "pixels", "class_name"), backend)
+    found = backends.call(images.select(*[c for c in ("sample_id", "width", "height", "pixels", "class_name") if c in images.columns]), backend or backends.detector(recipe.target.classes or ("object",)))
     asset = F.sha2(F.col("sample_id"), 256)
     return found.withColumn("object_id", identity.object_id(asset, F.lit(0), F.col("class_name"), g.box(), F.col("score")))
 
@@ -60,7 +59,7 @@ def plan(targets: DataFrame, values: Sequence[str], recipe: Recipe) -> DataFrame
     text = F.replace(F.lit(text if "{scene}" in text else f"{text}, {{scene}}"), F.lit("{scene}"), F.col("background")) if "background" in targets.columns else F.lit(text)
     prompt = F.replace(F.replace(text, F.lit("{value}"), F.col("category")), F.lit("{class}"), F.col("class_name"))
     rows = rows.withColumn("candidate_id", identity.candidate_id(F.col("sample_id"), F.col("object_id"), F.col("candidate_key")))
-    return rows.withColumn("prompt", prompt).withColumn("seed", F.pmod(F.xxhash64(F.lit(recipe.seed), "candidate_id"), F.lit(2**62)))
+    return rows.withColumn("prompt", prompt).withColumn("seed", seeds.derive_column(recipe.seed, F.col("sample_id"), F.col("object_id"), F.col("candidate_key")))
 
 
 _MEASURED = "candidate_id string, sample_id string, object_id string, category string, width int, height int, found boolean, coverage double, expected_coverage double, semantic_match double, redetect_iou double, x_min double, y_min double, x_max double, y_max double, mask_area double, polygon_points int, category_matched boolean, pixels binary, "
@@ -85,7 +84,7 @@ def _evaluate(batch: pd.DataFrame) -> pd.DataFrame:
         found = (b["area"] > 0) & (iou >= LEAST_IOU)
         after &= found[:, None, None]
         grey = lambda x: x.mean(1)
-        measures = {**raster.background(grey(source), grey(refined), before), **raster.boundary(grey(refined), after), **raster.artifacts(grey(refined), after), **raster.movement(before, after)}
+        measures = {**raster.background(source, refined, before), **raster.boundary(grey(refined), after), **raster.artifacts(grey(refined), after), **raster.movement(before, after)}
         s = raster.shape_of(after)
         out = {"candidate_id": rows["candidate_id"], "sample_id": rows["sample_id"], "object_id": rows["object_id"], "category": rows["category"], "width": w, "height": h, "found": found, "coverage": after.mean((-2, -1)), "expected_coverage": before.mean((-2, -1)),
                "semantic_match": np.round(backends.semantic(refined, after, rows["category"].tolist()), 6), "redetect_iou": np.round(iou, 6), **{e: np.where(found, s[e], np.nan) for e in g.EDGES}, "mask_area": s["area"].astype(float), "polygon_points": np.where(found, 4, 0), "category_matched": found, "pixels": packed}

@@ -200,7 +200,7 @@ def test_images_with_several_objects(spark):
     pictures = spark.createDataFrame(rows, "sample_id string, width int, height int, pixels binary")
     r = recipe.load({"name": "j", "dataset": {"path": "."}, "target": {"classes": ["block"], "max_per_sample": 3}, "replacement": {"values": ["sedan"]}, "quality": {"minimum_overall": 0.4}})
     job = pipeline.run(pictures, r)
-    want = {(f"s{i}", float(x + i), float(y), float(x + i + w), float(y + h), w * h) for i in range(3) for x, y, w, h in blocks}
+    want = {(f"s{i}", float(x + i), float(y), float(x + i + w), float(y + h), w * h - 4) for i in range(3) for x, y, w, h in blocks}  # opening takes the corners
     assert {(d["sample_id"], d["x_min"], d["y_min"], d["x_max"], d["y_max"], d["area"]) for d in job["detections"].collect()} == want
     assert job["targets"].count() == 9 and job["detections"].select("object_id").distinct().count() == 9
     measured = job["measured"].collect()
@@ -209,13 +209,25 @@ def test_images_with_several_objects(spark):
     assert made and all(m["count"] == 3 for m in made)
 
 
+def test_the_detector_names_orders_and_limits(spark):
+    x = np.full((3, 40, 48), 0.45)
+    for left, top, w, h, level in ((4, 4, 8, 8, 0.7), (20, 4, 14, 14, 1.0), (6, 24, 10, 10, 0.95)):
+        x[:, top : top + h, left : left + w] = level
+    x[0, 30:34, 30:40] += 0.3  # a tint that hardly changes the brightness
+    picture = spark.createDataFrame([("s", 48, 40, bytearray(np.round(x * 255).astype(np.uint8).tobytes()))], "sample_id string, width int, height int, pixels binary")
+    see = lambda **more: [(r["class_name"], r["x_min"]) for r in backends.call(picture, backends.detector(**more)).orderBy(F.desc("score")).collect()]
+    assert see(classes=("b", "a")) == [("a", 20.0), ("b", 6.0), ("a", 4.0), ("b", 30.0)]
+    assert see(classes=("b", "z"), vocabulary=("a", "b"), most=2) == [("b", 20.0), ("b", 6.0)]
+    assert see(classes=("z",), vocabulary=("a",)) == [] and see(least_score=0.95) == [("object", 20.0)]
+
+
 def test_a_job_segments_analyses_and_labels(spark):
     x = np.full((3, 30, 40), 0.45) + RNG.normal(0, 0.005, (3, 30, 40))
     x[:, 8:20, 10:22] = np.array([0.1, 0.9, 0.2])[:, None, None]
-    x[:, 20:21, 10:22] = 0.59  # a weak lower edge, which the detector leaves out and the segmenter takes in
+    x[:, 20:21, 10:22] = 0.59  # a weak lower edge
     pictures = spark.createDataFrame([("s", 40, 30, bytearray(np.round(x * 255).astype(np.uint8).tobytes()))], "sample_id string, width int, height int, pixels binary")
     job = pipeline.run(pictures, recipe.load({"name": "j", "dataset": {"path": "."}, "target": {"classes": ["block"]}, "replacement": {"values": ["sedan"]}, "quality": {"minimum_overall": 0.4}}))
-    assert job["detections"].first()["area"] == 144
+    assert job["detections"].first()["area"] == 152  # opening takes the corners, which the segmenter brings back
     made = job["candidates"].first()
     assert made["area"] == sum(made["mask"]) == 156 and len(made["polygon"]) >= 8 and made["prompt"] == "a sedan in place of the block, a flat mid-tone background"
     assert job["segments"].count() == 1 and {r["image"] for r in job["labels"].collect()} == {r["candidate_id"] for r in job["decided"].filter("decision = 'accepted'").collect()}
