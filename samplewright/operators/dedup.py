@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from samplewright.session import settle
+from samplewright.functions import segments
+from samplewright.session import arrow_files, scratch, settle, ship
 
 BITS = 64
 
@@ -27,29 +29,15 @@ def similarity(bits: Column) -> Column:
     return 1 - bits / BITS
 
 
-def _bands(rows: DataFrame, threshold: int) -> DataFrame:
-    """``hash`` once per band: of threshold + 1 bands at least one is untouched by ``threshold`` changed bits."""
-    ends = [BITS * i // (threshold + 1) for i in range(threshold + 2)]
-    pieces = [F.shiftrightunsigned("hash", ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1)) for i in range(threshold + 1)]
-    return rows.select("hash", F.posexplode(F.array(*pieces)).alias("band", "piece"))
-
-
 def hash_pairs(rows: DataFrame, threshold: int = 6) -> DataFrame:
     """``a, b, distance`` of different hashes within the threshold, a < b, from a column ``hash``.
 
     Works on distinct values, so copies of one image (a third of all rows, say) are one row; rows are joined back by value.
-    A pair that meets in several bands is kept in the first of them only.
+    The keys by which hashes meet (:mod:`samplewright.functions.segments`) are as long as the number of values asks for, so buckets stay small.
     """
-    values = rows.select("hash").filter("hash is not null").distinct()
-    banded = _bands(values, threshold)
-    other = banded.select(F.col("hash").alias("b"), "band", "piece")
-    met = banded.select(F.col("hash").alias("a"), "band", "piece").join(other, ["band", "piece"]).filter("a < b")
-    met = met.withColumn("distance", distance(F.col("a"), F.col("b"))).filter(F.col("distance") <= threshold)
-    ends = [BITS * i // (threshold + 1) for i in range(threshold + 2)]
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    same = [F.shiftrightunsigned(differ, ends[i]).bitwiseAND(F.lit((1 << (ends[i + 1] - ends[i])) - 1)) == 0 for i in range(threshold + 1)]
-    first = reduce(lambda rest, i: F.when(same[i], i).otherwise(rest), reversed(range(threshold + 1)), F.lit(threshold + 1))
-    return met.filter(F.col("band") == first).select("a", "b", "distance")
+    values = settle(rows.select(F.col("hash").alias("h")).filter("h is not null").distinct(), "dedup-values")
+    pieces = segments.pieces_for(values.count(), threshold)
+    return segments.near_among(segments.index(values, "h", pieces, threshold), pieces, threshold).filter("a < b")
 
 
 def exact_groups(rows: DataFrame, key: str, item: str) -> DataFrame:
@@ -77,20 +65,17 @@ def resolve(records: DataFrame, references: DataFrame | None = None, threshold:
         first = first.join(reach(pool.select("hash")).select("hash").distinct(), "hash", "left_anti")
     state = settle(first.withColumn("kept", F.lit(None).cast("boolean")), "dedup-round")
     kept: list[DataFrame] = []
-    while True:
-        waiting = state.filter("kept is null").select("hash", "ord", "item")
-        if waiting.isEmpty():
-            break
-        held = reduce(DataFrame.unionByName, kept) if kept else waiting.limit(0)
-        around = near.join(waiting.select(F.col("hash").alias("other"), F.col("ord").alias("open")), "other").select("hash", "open", F.lit(None).cast(records.schema["ord"].dataType).alias("held"))
-        around = around.unionByName(near.join(held.select(F.col("hash").alias("other"), F.col("ord").alias("held")), "other").select("hash", F.lit(None).cast(records.schema["ord"].dataType).alias("open"), "held"))
-        seen = waiting.join(around.groupBy("hash").agg(F.min("open").alias("open"), F.min("held").alias("held")), "hash", "left")
+    nothing = F.lit(None).cast(records.schema["ord"].dataType)
+    while not (waiting := state.filter("kept is null").select("hash", "ord", "item")).isEmpty():
+        # A kept value settles all its later neighbours in the round after, so only the last round's are looked at.
+        marks = waiting.select(F.col("hash").alias("other"), F.col("ord").alias("open"), nothing.alias("held")).unionByName(state.filter("kept").select(F.col("hash").alias("other"), nothing.alias("open"), F.col("ord").alias("held")))
+        around = near.join(marks, "other").groupBy("hash").agg(F.min("open").alias("open"), F.min("held").alias("held"))
+        seen = waiting.join(around, "hash", "left")
         verdict = F.when(F.col("held") < F.col("ord"), False).when(F.col("open").isNull() | (F.col("open") > F.col("ord")), True)
         state = settle(seen.select("hash", "ord", "item", verdict.alias("kept")), "dedup-round")
         kept.append(state.filter("kept").select("hash", "ord", "item"))
     held = reduce(DataFrame.unionByName, kept) if kept else first.limit(0)
     held = settle(held.select("hash", "ord", "item"), "dedup-kept")
-    nothing = F.lit(None).cast(records.schema["ord"].dataType)
     marks = reach(held.select("hash", F.lit(1).alias("pool"), F.col("ord").alias("since"), F.col("item").alias("ref")))
     if pool is not None:
         marks = marks.unionByName(reach(pool.select("hash", F.lit(0).alias("pool"), nothing.alias("since"), "ref")))
@@ -110,30 +95,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (scale > 0), F.try_divide(dot, scale)).otherwise(0.0)
 
 
-def cosine_matches(queries: DataFrame, accepted: DataFrame, threshold: float = 0.98, blocks: int = 16) -> DataFrame:
-    """``query, item, similarity`` of every accepted vector at or above the threshold, from columns ``id, vector``.
+#: Vectors that one comparison takes from either side.
+QUERY_BLOCK, ITEM_BLOCK = 2048, 8192
+
+
+def cosine_matches(queries: DataFrame, accepted: DataFrame, threshold: float = 0.98) -> DataFrame:
+    """``query, item, similarity`` of every accepted vector at or above the threshold, from columns ``id, vector`` with BIGINT ids.
 
-    A stated query set against all rows, in blocks: queries are dealt into ``blocks`` and every vector meets one block a
-    row group in numpy, so memory is bounded by a block and nothing is left out.
+    A stated query set against all rows, in blocks. The queries are stored once in the shared folder; every task walks its own accepted vectors in
+    blocks and reads the queries past them, so no vector is shuffled or copied, and a task holds one block of either side and their
+    similarities. Vectors of no length or of another length than the query's have similarity 0.
     """
     import numpy as np
-    import pandas as pd
-
-    dealt = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    spread = accepted.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def compare(left, right):
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": [], "item": [], "similarity": []}).astype({"query": "int64", "item": "int64"})
-        q, r = (np.array(x["vector"].tolist(), dtype=np.float64) for x in (left, right))
-        q, r = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) for x in (q, r))
-        sims = q @ r.T
-        i, j = np.nonzero(sims >= threshold)
-        return pd.DataFrame({"query": left["id"].to_numpy()[i], "item": right["id"].to_numpy()[j], "similarity": sims[i, j]})
-
-    salted = spread.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
-    parts = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    return parts.groupBy("block", "part").cogroup(salted.groupBy("block", "part")).applyInPandas(compare, "query bigint, item bigint, similarity double")
+    import pyarrow as pa
+    import pyarrow.dataset as ds
+
+    spark = queries.sparkSession
+    ship(spark)
+    folder = scratch(spark, "cosine-queries")
+    queries.select("id", F.col("vector").cast("array<double>").alias("vector")).filter("id is not null and vector is not null").write.parquet(folder)
+    schema = pa.schema([("query", pa.int64()), ("item", pa.int64()), ("similarity", pa.float64())])
+
+    def unit(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Rows and vectors of length one, by their dimension."""
+        sizes, flat = np.diff(vectors.offsets.to_numpy()), vectors.flatten().to_numpy(zero_copy_only=False)
+        starts, out = np.r_[0, np.cumsum(sizes)[:-1]], {}
+        for d in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == d)
+            v = np.nan_to_num(flat[starts[at][:, None] + np.arange(d)])
+            out[int(d)] = at, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = arrow_files(folder)
+        stored = ds.dataset(path, filesystem=system, format="parquet")
+        for batch in batches:
+            for at in range(0, batch.num_rows, ITEM_BLOCK):
+                part = batch.slice(at, ITEM_BLOCK)
+                items = unit(part.column(1).cast(pa.list_(pa.float64())))
+                names = part.column(0).to_numpy(zero_copy_only=False)
+                for block in stored.to_batches(columns=["id", "vector"], batch_size=QUERY_BLOCK):
+                    asked = block.column(0).to_numpy(zero_copy_only=False)
+                    for d, (i, q) in unit(block.column(1)).items():
+                        if d in items:
+                            j, r = items[d]
+                            similarity = q @ r.T
+                            a, b = np.nonzero(similarity >= threshold)
+                            if len(a):
+                                yield pa.RecordBatch.from_arrays([pa.array(asked[i[a]]), pa.array(names[j[b]]), pa.array(similarity[a, b])], schema=schema)
+
+    return accepted.select(F.col("id").cast("bigint"), "vector").filter("id is not null and vector is not null").mapInArrow(compare, "query bigint, item bigint, similarity double")
 
 
 def latest_first(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -101,6 +101,15 @@ def release(spark: SparkSession) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def arrow_files(folder: str) -> tuple[object, str]:
+    """Arrow's file system and path for a folder that Spark names by a URI or a plain path; for tasks that read or write single files."""
+    from pyarrow import fs
+
+    if ":/" in folder:
+        return fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+    return fs.LocalFileSystem(), os.path.abspath(folder)
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows, counting no further than that."""
     return df.limit(rows + 1).count() <= rows
