@@ -65,7 +65,8 @@ def coco_annotations(labels: DataFrame, words: DataFrame) -> DataFrame:
     corners = F.array(b["x_min"], b["y_min"], b["x_max"], b["y_min"], b["x_max"], b["y_max"], b["x_min"], b["y_max"])
     ring = F.when(F.size("polygon") >= 6, F.col("polygon")).otherwise(corners)
     two = lambda c: F.round(c, 2)
-    numbered = running_number(labels, ["image", "object_id"], "id").join(running_number(labels.select("image").distinct(), ["image"], "image_id"), "image")
+    numbered = running_number(labels, ["image", "object_id"], "id")  # stored, so the labels are not computed again for their images
+    numbered = numbered.join(running_number(numbered.select("image").distinct(), ["image"], "image_id"), "image")
     return rebase(numbered, words).select("id", "image_id", "category_id", F.array(two(b["x_min"]), two(b["y_min"]), two(g.width(b)), two(g.height(b))).alias("bbox"), two(F.col("area")).alias("area"), "iscrowd", F.array(F.transform(ring, two)).alias("segmentation"))
 
 
