@@ -21,7 +21,7 @@ import sys
 from samplewright.operators import gates, report, video
 from samplewright.plans import recipe as recipes
 from samplewright.plans import stages
-from samplewright.session import settle
+from samplewright.session import release, settle
 
 
 def session():
@@ -140,7 +140,8 @@ def export(a) -> int:
         decided, decisions = out.exportable(decided, hashes, sources, r.duplicates.threshold, states)
         duplicates = settle(decisions.filter("not kept"), "export-duplicates")
         dropped = duplicates.count()
-    sizes = decided.select(F.col("candidate_id").alias("image"), F.col("width").cast("double").alias("image_width"), F.col("height").cast("double").alias("image_height"))
+    splits = spark.read.parquet(f"{a.folder}/samples").groupBy(F.col("id").alias("sample_id")).agg(F.min("split").alias("split"))
+    sizes = decided.join(splits, "sample_id", "left").select(F.col("candidate_id").alias("image"), F.coalesce("split", F.lit("train")).alias("split"), F.col("width").cast("double").alias("image_width"), F.col("height").cast("double").alias("image_height"))
     labels = spark.read.parquet(f"{a.folder}/labels").join(sizes, "image")
     rows = out.provenance(decided, spark.read.parquet(f"{a.folder}/targets"), {"recipe": r.hash, "recipe_name": r.name})
     bound = {"image.replacement.v1": {"id": "builtin_replacement", "demo_only": True}}
@@ -185,7 +186,10 @@ def main(argv: list[str] | None = None) -> int:
     except SystemExit as e:
         return 2 if e.code else 0
     try:
-        return a.call(a)
+        code = a.call(a)
+        if a.command in ("run", "export"):
+            release(session())  # what was settled on the way; the results are written
+        return code
     except (recipes.RecipeError, FileNotFoundError, KeyError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2

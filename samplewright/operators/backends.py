@@ -65,11 +65,13 @@ def call(rows: DataFrame, backend: Backend) -> DataFrame:
                 last = time.time()
             for attempt in range(backend.retries + 1):
                 try:
-                    yield backend.run(batch)
+                    result = backend.run(batch)
                     break
                 except Exception:  # noqa: BLE001
                     if attempt == backend.retries:
                         raise
+            if len(result):
+                yield result
 
     return rows.mapInPandas(run, backend.schema)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from html import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,5 +79,5 @@ def export(rows: DataFrame, labels: DataFrame, folder: str, job: dict, form: str
 def review_page(decided: DataFrame, most: int = 200) -> str:
     """A static page of the candidates to look at, worst first: a report of the top ``most``."""
     rows = decided.filter("decision = 'needs_review'").orderBy("overall", "candidate_id").limit(most).collect()
-    cells = "".join(f"<tr><td>{r['candidate_id']}</td><td>{r['category']}</td><td>{r['overall']:.4f}</td><td>{', '.join(r['reason_codes'])}</td></tr>" for r in rows)
+    cells = "".join(f"<tr><td>{escape(str(r['candidate_id']))}</td><td>{escape(str(r['category']))}</td><td>{r['overall']:.4f}</td><td>{escape(', '.join(r['reason_codes']))}</td></tr>" for r in rows)
     return f"<!doctype html><meta charset=utf-8><title>Review</title><table><tr><th>candidate<th>category<th>overall<th>reasons</tr>{cells}</table>"

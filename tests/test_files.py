@@ -80,15 +80,26 @@ def some_labels(spark):
 
 
 def test_coco_round_trip(spark, tmp_path):
-    labels.write_coco(some_labels(spark), str(tmp_path / "c" / "annotations.json"))
-    folder = tmp_path / "c" / "annotations.json"
-    part = next(folder.glob("part-*"))
-    doc = json.loads(part.read_text())
-    assert [i["id"] for i in doc["images"]] == [1, 2] and [c["name"] for c in doc["categories"]] == ["bus", "car"] and len(doc["annotations"]) == 3
-    again = {(r["image"], r["category"], r["x_min"], r["y_max"], r["area"]) for r in labels.read_coco(spark, str(tmp_path / "c")).collect()}
+    named = some_labels(spark).withColumn("split", F.when(F.col("image") == "b.png", "val").otherwise("train"))
+    labels.write_coco(named, str(tmp_path), description='a "set"')
+    doc = json.loads((tmp_path / "annotations" / "instances_train.json").read_text())
+    assert [i["id"] for i in doc["images"]] == [1] and [c["name"] for c in doc["categories"]] == ["bus", "car"] and [a["id"] for a in doc["annotations"]] == [1, 2] and doc["info"]["description"] == 'a "set"'
+    assert [c["name"] for c in json.loads((tmp_path / "annotations" / "instances_val.json").read_text())["categories"]] == ["bus", "car"]
+    again = {(r["image"], r["category"], r["x_min"], r["y_max"], r["area"]) for r in labels.read_coco(spark, str(tmp_path)).collect()}
     assert again == {("b.png", "car", 1.0, 8.0, 24.0), ("a.png", "bus", 0.0, 4.0, 8.0), ("a.png", "car", 3.0, 9.0, 36.0)}
 
 
+def test_yolo_round_trip(spark, tmp_path):
+    named = some_labels(spark).withColumns({"split": F.when(F.col("image") == "b.png", "val").otherwise("train"), "image": F.when(F.col("image") == "a.png", "deep er/a.x.png").otherwise(F.col("image"))})
+    labels.write_yolo(named, str(tmp_path))
+    assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and p.suffix != ".crc") == ["classes.txt", "data.yaml", "labels/train/deep er/a.x.txt", "labels/val/b.txt"]
+    assert (tmp_path / "classes.txt").read_text() == "bus\ncar\n" and 'names: ["bus", "car"]' in (tmp_path / "data.yaml").read_text()
+    for names in ("classes.txt", "data.yaml"):
+        out = [(r["category"], r["kind"], r["error"], len(r["coords"])) for r in labels.read_yolo(spark, str(tmp_path)).collect()]
+        assert sorted(out) == [("bus", "polygon", None, 6), ("car", "box", None, 4), ("car", "box", None, 4)]
+        (tmp_path / names).unlink()
+
+
 def test_coco_edges(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         labels.read_coco(spark, str(tmp_path))
@@ -104,8 +115,6 @@ def test_yolo(spark, tmp_path):
     line = some_labels(spark).select("object_id", annotations.yolo_line(F.lit(1), F.col("image_width"), F.col("image_height")).alias("l"))
     got = {r["object_id"]: r["l"] for r in line.collect()}
     assert got["car_0000"] == "1 0.150000 0.500000 0.200000 0.600000" and got["bus_0000"].split()[1:] == ["0.000000", "0.000000", "0.200000", "0.000000", "0.200000", "0.400000"]
-    labels.write_yolo(some_labels(spark), str(tmp_path / "out"))
-    assert any((tmp_path / "out" / "labels" / "train").glob("stem=a/*.txt"))
 
 
 def test_recipe_reports_every_problem():
