@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from samplewright.session import settle
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """``table`` with ``rows`` in place of those of the same key. Write the result to a new path, then exchange the paths."""
-    return table.join(rows.select(*key), list(key), "left_anti").unionByName(rows)
+def upsert(table: DataFrame, rows: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """``table`` with ``rows`` in place of those of the same key. Write the result to a new path, then exchange the paths.
+
+    Of several rows of one key the last by ``order`` counts, and of equal ones the highest; a null key is a key of its own.
+    """
+    rest = [*order, *(c for c in rows.columns if c not in key and c not in order)]
+    last = rows.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__r")).select(*key, "__r.*") if rest else rows.distinct()
+    named = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)])
+    same = [table[k].eqNullSafe(named[f"__k{i}"]) for i, k in enumerate(key)]
+    return table.join(named, same, "left_anti").unionByName(last.select(*table.columns))
 
 
 def pending(planned: DataFrame, recorded: DataFrame, key: Sequence[str], finished: Sequence[str] = ("succeeded", "skipped")) -> DataFrame:

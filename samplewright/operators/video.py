@@ -9,10 +9,9 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from samplewright.functions import geometry as g
-from samplewright.functions.seeds import derive
+from samplewright.functions.seeds import derive_column
 
 
 @dataclass(frozen=True)
@@ -46,9 +45,6 @@ def _json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-VARIANT = T.StructType([T.StructField("ordinal", T.LongType()), T.StructField("fingerprint", T.MapType(T.StringType(), T.StringType()))])
-
-
 def _finish(rows: DataFrame, spec: Spec) -> DataFrame:
     """Truncate, filter by active operations, and name by content."""
     rows = rows.filter(F.col("ordinal") < spec.max_variants)
@@ -67,11 +63,18 @@ def variants(spark: SparkSession, spec: Spec) -> DataFrame:
     """
     choices = [o.choices() for o in spec.operators]
     if spec.strategy == "paired":
-        made = [(0, {})] + [(i + 1, {axis: value}) for i, (axis, value) in enumerate((o.axis, v) for o, c in zip(spec.operators, choices, strict=True) for v in c)]
-        return _finish(spark.createDataFrame(made[: spec.max_variants], VARIANT), spec)
+        total = 1 + sum(map(len, choices))
+        rows = spark.range(min(total, spec.max_variants)).withColumnRenamed("id", "ordinal")
+        sibling, start = F.create_map().cast("map<string,string>"), 1
+        for o, c in zip(spec.operators, choices, strict=True):
+            at = F.col("ordinal") - start
+            sibling = F.when(at.between(0, len(c) - 1), F.create_map(F.lit(o.axis), F.get(F.array(*map(F.lit, c)), at.cast("int")))).otherwise(sibling)
+            start += len(c)
+        return _finish(rows.withColumn("fingerprint", sibling), spec)
     if spec.strategy == "random":
-        made = [(i, {o.axis: c[derive(spec.seed, "variant", i, o.axis) % len(c)] for o, c in zip(spec.operators, choices, strict=True)}) for i in range(spec.max_variants)]
-        return _finish(spark.createDataFrame(made, VARIANT), spec)
+        rows = spark.range(max(0, spec.max_variants)).withColumnRenamed("id", "ordinal")
+        drawn = [(F.lit(o.axis), F.get(F.array(*map(F.lit, c)), F.pmod(derive_column(spec.seed, F.lit("variant"), F.col("ordinal"), F.lit(o.axis)), F.lit(len(c))).cast("int"))) for o, c in zip(spec.operators, choices, strict=True)]
+        return _finish(rows.withColumn("fingerprint", F.create_map(*[x for pair in drawn for x in pair]) if drawn else F.create_map().cast("map<string,string>")), spec)
     total = 1
     for c in choices:
         total *= len(c)
