@@ -29,8 +29,7 @@ from urllib.parse import quote
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplewright.functions import clean
-from samplewright.llm import segments
+from samplewright.functions import clean, segments
 from samplewright.llm.tables import latest
 from samplewright.session import scratch, settle
 

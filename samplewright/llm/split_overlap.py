@@ -25,8 +25,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.functions import clean
-from samplewright.llm import minwise, segments
+from samplewright.functions import clean, segments
+from samplewright.llm import minwise
 from samplewright.llm.tables import latest
 from samplewright.session import settle
 

@@ -9,7 +9,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from samplewright.llm import band_topn, history_dedup, keep_fraction, minwise, percentile_sketch, segments, split_overlap
+from samplewright.functions import segments
+from samplewright.llm import band_topn, history_dedup, keep_fraction, minwise, percentile_sketch, split_overlap
 
 DATA = "/root/testdata/sf0.01"
 CAND = "candidate_id string, job_id string, sample_id string, target_object_id string, category string, state string, output_digest string, overall_score double, updated_at timestamp, cat string, n int, s double, h bigint"
