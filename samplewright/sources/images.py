@@ -1,7 +1,8 @@
-"""Image directories: discovery, header probes, ingest checks and PNG pixels."""
+"""Image directories: discovery, header probes, ingest checks and pixels."""
 
 from __future__ import annotations
 
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -11,6 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    from PIL import Image
+except ImportError:  # then only PNG is read
+    Image = None
+
 from samplewright.operators import lineage
 from samplewright.session import settle
 
@@ -19,7 +25,7 @@ SUFFIXES = ("jpg", "jpeg", "png", "webp")
 METADATA = ("annotations", "labels", "metadata", "__MACOSX")
 MAX_PIXELS, MAX_SIDE = 64_000_000, 16_384
 HEAD = 65_536
-UNREAD = "only 8-bit PNG files without interlace are read"
+UNREAD = "only PNG files are read without Pillow"
 
 
 def probe(data: bytes) -> dict[str, object]:
@@ -138,7 +144,7 @@ def readable(good: DataFrame, folder: str, most: int | None = None) -> tuple[Dat
     content = base.withColumn("digest", F.sha2("content", 256)).select("digest", "content").dropDuplicates(["digest"])
     decoded = settle(pixels(good.join(content, "digest").select("relative_path", "content")), "pixels")
     wrong = decoded.filter("error is not null").select("relative_path", "error")
-    unread = (F.col("kind") != "png") | F.col("reason").eqNullSafe(UNREAD)
+    unread = F.col("reason").eqNullSafe(UNREAD)
     refused = good.drop("reason").join(wrong.withColumnRenamed("error", "reason"), "relative_path").withColumn("error_code", F.when(unread, "MEDIA_UNSUPPORTED").otherwise("MEDIA_UNREADABLE"))
     fine = decoded.filter("error is null")
     if most is not None:
@@ -147,8 +153,39 @@ def readable(good: DataFrame, folder: str, most: int | None = None) -> tuple[Dat
     return fine.select(F.col("relative_path").alias("sample_id"), "width", "height", three.alias("pixels")), refused
 
 
+def _unfiltered(rows: np.ndarray, step: int) -> np.ndarray:
+    """Bytes of the lines of a PNG (a filter kind, then the filtered bytes, ``step`` bytes a pixel).
+
+    A byte depends on its left, upper and upper left neighbours, so all bytes of an antidiagonal are taken at once; lines of the kinds that need no such care go line by line.
+    """
+    kinds, raw = rows[:, 0], rows[:, 1:].reshape(len(rows), -1, step).astype(np.int32)
+    if kinds.max(initial=0) > 4:
+        raise ValueError("unknown line filter")
+    h, w = raw.shape[:2]
+    out = np.zeros((h + 1, w + 1, step), np.int32)
+    if not np.isin(kinds, (3, 4)).any():
+        for y in range(h):
+            line = raw[y].cumsum(0) if kinds[y] == 1 else raw[y] + out[y, 1:] if kinds[y] == 2 else raw[y]
+            out[y + 1, 1:] = line & 255
+        return out[1:, 1:].reshape(h, -1).astype(np.uint8)
+    for d in range(w + h - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        left, up, corner, kind = out[y + 1, x], out[y, x + 1], out[y, x], kinds[y][:, None]
+        p = left + up - corner
+        da, db, dc = abs(p - left), abs(p - up), abs(p - corner)
+        nearest = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, nearest], 0)
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:].reshape(h, -1).astype(np.uint8)
+
+
+# First column and row, and steps between columns and rows, of the seven passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """Height x width x channels of an 8-bit, not interlaced PNG (grey, RGB, palette, with or without alpha; alpha is dropped)."""
+    """Height x width x channels in 8 bits of a PNG: grey, RGB or palette of any depth, with or without alpha (which is dropped) or interlace. Of 16 bits the higher 8 are kept."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
     at, packed, palette = 8, [], None
@@ -162,37 +199,43 @@ def decode_png(data: bytes) -> np.ndarray:
         elif name == b"IDAT":
             packed.append(body)
         at += 12 + length
-    if depth != 8 or interlace or w * h > MAX_PIXELS:
-        raise ValueError(UNREAD)
+    if w * h > MAX_PIXELS:
+        raise ValueError("too many pixels")
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
-    rows = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h, w * channels), np.uint8)
-    above = np.zeros(w * channels, np.int32)
-    for y in range(h):
-        kind, line = rows[y, 0], rows[y, 1:].astype(np.int32)
-        if kind == 1:
-            line = line.reshape(w, channels).cumsum(0).ravel()
-        elif kind == 2:
-            line = line + above
-        elif kind in (3, 4):
-            left, corner = np.zeros(channels, np.int32), np.zeros(channels, np.int32)
-            for x in range(0, w * channels, channels):
-                up = above[x : x + channels]
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    da, db, dc = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((da <= db) & (da <= dc), left, np.where(db <= dc, up, corner))
-                left, corner = (line[x : x + channels] + guess) & 255, up
-                line[x : x + channels] = left
-        out[y] = above = line & 255
-    image = out.reshape(h, w, channels)
+    stream = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+    image, begin = np.zeros((h, w, channels), np.uint8), 0
+    for x0, y0, dx, dy in PASSES if interlace else ((0, 0, 1, 1),):
+        ws, hs = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if ws <= 0 or hs <= 0:
+            continue
+        line = -(-ws * channels * depth // 8)
+        rows = stream[begin : begin + hs * (line + 1)].reshape(hs, line + 1)
+        begin += rows.size
+        flat = _unfiltered(rows, max(1, channels * depth // 8))
+        if depth == 16:
+            flat = flat.reshape(hs, -1, 2)[..., 0]
+        elif depth < 8:
+            bits = np.unpackbits(flat, axis=1).reshape(hs, -1, depth)
+            flat = (bits * (1 << np.arange(depth)[::-1])).sum(-1)[:, : ws * channels].astype(np.uint8)
+            flat = flat if colour == 3 else flat * (255 // ((1 << depth) - 1))
+        image[y0::dy, x0::dx] = flat.reshape(hs, ws, channels)
     if colour == 3:
         image = palette[image[..., 0]]
     return image[..., : 1 if colour in (0, 4) else 3]
 
 
+def decode(data: bytes) -> np.ndarray:
+    """Height x width x channels in 8 bits: PNG by :func:`decode_png`, JPEG and WebP by Pillow where it is installed."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return decode_png(data)
+    if Image is None:
+        raise ValueError(UNREAD)
+    with Image.open(io.BytesIO(data)) as picture:
+        if picture.width * picture.height > MAX_PIXELS:
+            raise ValueError("too many pixels")
+        return np.asarray(picture.convert("L" if picture.mode == "L" else "RGB")).reshape(picture.height, picture.width, -1)
+
+
 def encode_png(image: np.ndarray) -> bytes:
     """A PNG of a uint8 grey or RGB image."""
     image = np.ascontiguousarray(image if image.ndim == 3 else image[..., None], dtype=np.uint8)
@@ -211,10 +254,10 @@ def pixels(files: DataFrame) -> DataFrame:
             out = []
             for path, content in zip(batch["relative_path"], batch["content"], strict=True):
                 try:
-                    image = decode_png(bytes(content))
+                    image = decode(bytes(content))
                     # Channels lie one after another, as the kernels read them.
                     out.append((path, image.shape[1], image.shape[0], image.shape[2], image.transpose(2, 0, 1).tobytes(), None))
-                except (ValueError, KeyError, IndexError, zlib.error, struct.error, TypeError, UnboundLocalError) as e:
+                except (ValueError, KeyError, IndexError, zlib.error, struct.error, TypeError, UnboundLocalError, OSError) as e:
                     out.append((path, None, None, None, None, str(e)))
             yield pd.DataFrame(out, columns=["relative_path", "width", "height", "channels", "pixels", "error"]).astype({c: "Int32" for c in ("width", "height", "channels")})
 

@@ -82,7 +82,7 @@ def test_unread_files_are_refused_and_grey_is_read(spark, tmp_path):
     grey = np.full((30, 40), 115, np.uint8)
     grey[8:20, 10:24] = 250
     deep = bytearray(scene(rng, 115, 8, 6, 12, 14))
-    deep[24] = 16  # bits a channel
+    deep[24] = 16  # bits a channel, which its lines do not have
     broken = scene(rng, 115, 8, 6, 12, 14)[:60]
     for name, data in (("a.jpg", jpeg), ("b.png", bytes(deep)), ("c.png", broken), ("d.png", images.encode_png(grey)), ("e.png", scene(rng, 115, 8, 6, 12, 14)), ("f.png", scene(rng, 115, 8, 6, 12, 14))):
         (tmp_path / "in" / name).write_bytes(data)
@@ -92,7 +92,7 @@ def test_unread_files_are_refused_and_grey_is_read(spark, tmp_path):
     assert cli.main(["run", str(recipe), "--out", out]) == 0
     assert {r["sample_id"] for r in spark.read.parquet(f"{out}/detections").collect()} == {"d.png", "e.png"}
     refused = {r["relative_path"]: (r["error_code"], bool(r["reason"])) for r in spark.read.parquet(f"{out}/refused").collect()}
-    assert refused == {"a.jpg": ("MEDIA_UNSUPPORTED", True), "b.png": ("MEDIA_UNSUPPORTED", True), "c.png": ("MEDIA_UNREADABLE", True)}
+    assert refused == {"a.jpg": ("MEDIA_UNSUPPORTED", True), "b.png": ("MEDIA_UNREADABLE", True), "c.png": ("MEDIA_UNREADABLE", True)}
     for name in "bcdef":
         (tmp_path / "in" / f"{name}.png").unlink()
     assert cli.main(["run", str(recipe), "--out", out]) == 1

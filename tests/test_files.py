@@ -24,6 +24,38 @@ def test_png_round_trip_and_probes():
     assert images.probe(b"hello")["reason"] == "unknown format" and images.probe(b"\x89PNG\r\n\x1a\n")["reason"] == "truncated header"
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4, 8, 16])
+@pytest.mark.parametrize("interlace", [0, 1])
+def test_png_depths_and_interlace(depth, interlace):
+    """Against an encoder of its own: each pass by itself, every line by another filter."""
+    import struct
+    import zlib
+
+    for w, h in ((1, 1), (5, 3), (13, 11)):
+        for colour, channels in ((0, 1), *(((2, 3), (4, 2), (6, 4)) if depth >= 8 else ((3, 1),))):
+            x = RNG.integers(0, 1 << depth, (h, w, channels))
+            lines = b""
+            for x0, y0, dx, dy in images.PASSES if interlace else ((0, 0, 1, 1),):
+                part = x[y0::dy, x0::dx]
+                if not part.size:
+                    continue
+                flat = part.reshape(len(part), -1)
+                raw = flat.astype(">u2").view(np.uint8).reshape(len(part), -1) if depth == 16 else np.packbits((flat[..., None] >> np.arange(depth)[::-1] & 1).reshape(len(part), -1).astype(np.uint8), axis=1)
+                step = max(1, channels * depth // 8)
+                above = np.zeros(raw.shape[1], int)
+                for y, line in enumerate(raw.astype(int)):
+                    left, corner = (np.r_[np.zeros(step, int), v][: len(v)] for v in (line, above))
+                    p = left + above - corner
+                    paeth = [a if abs(q - a) <= min(abs(q - b), abs(q - c)) else b if abs(q - b) <= abs(q - c) else c for q, a, b, c in zip(p, left, above, corner, strict=True)]
+                    lines += bytes([y % 5]) + ((line - [0 * left, left, above, (left + above) // 2, paeth][y % 5]) & 255).astype(np.uint8).tobytes()
+                    above = line
+            palette = RNG.integers(0, 256, (1 << depth if depth < 16 else 1, 3)).astype(np.uint8)
+            chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + b"crc!"
+            data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlace)) + (chunk(b"PLTE", palette.tobytes()) if colour == 3 else b"") + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+            want = palette[x[..., 0]] if colour == 3 else (x >> 8 if depth == 16 else x * (255 // ((1 << depth) - 1)))[..., : 1 if colour in (0, 4) else 3]
+            assert (images.decode_png(data) == want).all(), (w, h, colour)
+
+
 def test_png_filters():
     import struct
     import zlib
