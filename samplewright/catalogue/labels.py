@@ -241,5 +241,12 @@ SELECT sample_id, object_id, o_id AS other_id, CASE WHEN overlap_fraction <= 0 T
     "candidate_identity": "SELECT DISTINCT sample_id, target_object_id, candidate_key, 'c_' || substr(sha256('{\"key\":\"' || candidate_key || '\",\"object\":\"' || target_object_id || '\",\"sample\":\"' || sample_id || '\"}'), 1, 16) AS id FROM candidates",
     "ahash_raster": f"WITH {COARSE_SQL} SELECT id, CASE WHEN hash > 9223372036854775807 THEN CAST(hash::HUGEINT - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST(hash AS BIGINT) END AS hash FROM hashed",
     "near_duplicate_pairs": f"WITH {COARSE_SQL}, v AS (SELECT hash, count(*) AS n FROM coarse GROUP BY hash) SELECT CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance, count(*) AS value_pairs, CAST(sum(a.n * b.n) AS BIGINT) AS row_pairs FROM v a JOIN v b ON a.hash < b.hash WHERE bit_count(xor(a.hash, b.hash)) <= 3 GROUP BY 1",
+    # One record after the other: a list of the hashes that were kept so far.
+    "near_duplicate_greedy": f"""WITH RECURSIVE {COARSE_SQL}, o AS (SELECT id, hash, row_number() OVER (ORDER BY id) AS k FROM coarse),
+step AS (SELECT 0::BIGINT AS k, []::UBIGINT[] AS held, false AS kept UNION ALL SELECT o.k, CASE WHEN n = 0 THEN list_append(held, hash) ELSE held END, n = 0
+  FROM (SELECT o.*, held, len([1 FOR x IN held IF bit_count(xor(x, o.hash)) <= 3]) AS n FROM step JOIN o ON o.k = step.k + 1) o),
+done AS (SELECT id, hash, o.k, kept FROM o JOIN step USING (k)),
+best AS (SELECT d.id, min(struct_pack(distance := bit_count(xor(d.hash, e.hash))::INTEGER, since := e.id)) AS m FROM done d JOIN done e ON e.kept AND e.k < d.k AND bit_count(xor(d.hash, e.hash)) <= 3 GROUP BY d.id)
+SELECT d.id AS item, kept, CASE WHEN m IS NULL THEN 'unique' WHEN m.distance = 0 THEN 'exact' ELSE 'near' END AS kind, m.since AS reference, m.distance AS distance FROM done d LEFT JOIN best USING (id)""",
     "cosine_duplicates": "SELECT q.vec_id AS query, i.vec_id AS item, round(list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id WHERE q.vec_id % 50 = 0 AND list_cosine_similarity(q.embedding::DOUBLE[], i.embedding::DOUBLE[]) >= 0.35",
 }

@@ -31,7 +31,7 @@ def video_variants_paired(spark, d):
 
 
 def video_variants_random(spark, d):
-    return _flat(video.variants(spark, _spec("random", 40)))
+    return _flat(video.variants(spark, _spec("random", 40))).drop("variant_id")
 
 
 def video_variants_truncated(spark, d):
@@ -220,4 +220,31 @@ def colour_change(spark, d):
 
 SQL["colour_change"] = """WITH px AS (SELECT vec_id AS id, [abs(2 * least(abs(v) * 2, 1.0::DOUBLE) - 1) * 2 / 3 FOR v IN embedding::DOUBLE[]] AS delta FROM embeddings)
 SELECT id, 1.0::DOUBLE AS ssim, round(len([1 FOR x IN delta IF x > 0.1::DOUBLE]) / 64, 6) AS changed_ratio, round(list_sum(delta) / 64, 6) AS mean_delta FROM px"""
+def _dct():
+    """Weights of the 8 rows (or columns) in the 8 lowest of 32 cosines, over a raster in which each of them is repeated four times."""
+    import math
+
+    return [(i, k, sum(math.cos(math.pi * (2 * y + 1) * k / 64) for y in range(4 * i, 4 * i + 4)) / math.sqrt(32) / (math.sqrt(2) if k == 0 else 1)) for i in range(8) for k in range(8)]
+
+
+def _drawn():
+    """The draws of ``video_variants_random`` one by one."""
+    from samplewright.functions.seeds import derive
+
+    lists = {o.axis: o.choices() for o in SPEC.operators}
+    for i in range(40):
+        yield i, ";".join(f"{axis}={lists[axis][derive(SPEC.seed, 'variant', i, axis) % len(lists[axis])]}" for axis in sorted(lists))
+
+
+_SIGNED = lambda x: f"CASE WHEN {x} > 9223372036854775807 THEN CAST({x}::HUGEINT - 18446744073709551616::HUGEINT AS BIGINT) ELSE CAST({x} AS BIGINT) END"
+_BITS = lambda where, at: f"coalesce(sum(CASE WHEN {where} THEN (1::UBIGINT << (63 - {at})::UBIGINT)::HUGEINT END), 0)"
+SQL["raster_hashes"] = f"""WITH px AS (SELECT vec_id AS id, embedding::DOUBLE[] AS p FROM embeddings), cell AS (SELECT id, k, p[k + 1] AS v, p FROM px, range(64) r(k)),
+a AS (SELECT id, {_BITS('v > list_sum(p) / 64', 'k')} AS h FROM cell GROUP BY id),
+g AS (SELECT id, r * 8 + c AS k, p[1 + CAST(floor((r + 0.5) * 8 / 9) AS BIGINT) * 8 + CAST(floor((c + 0.5) * 8 / 9) AS BIGINT)] AS l, p[1 + CAST(floor((r + 0.5) * 8 / 9) AS BIGINT) * 8 + CAST(floor((c + 1.5) * 8 / 9) AS BIGINT)] AS n FROM px, range(9) y(r), range(8) x(c)),
+d AS (SELECT id, {_BITS('n > l', 'k')} AS h FROM g WHERE k < 64 GROUP BY id),
+b(i, k, w) AS (VALUES {', '.join(f'({i}, {k}, {w!r}::DOUBLE)' for i, k, w in _dct())}),
+f AS (SELECT id, y.k * 8 + x.k AS k, CASE WHEN y.k + x.k = 0 THEN 0 ELSE sum(v * y.w * x.w) END AS v FROM cell JOIN b y ON y.i = cell.k // 8 JOIN b x ON x.i = cell.k % 8 GROUP BY id, y.k, x.k),
+m AS (SELECT *, avg(v) OVER (PARTITION BY id) AS mean FROM f), q AS (SELECT id, {_BITS('v > mean', 'k')} AS h FROM m GROUP BY id)
+SELECT id, {_SIGNED('a.h')} AS ahash, {_SIGNED('d.h')} AS dhash, {_SIGNED('q.h')} AS phash FROM a JOIN d USING (id) JOIN q USING (id)"""
+SQL["video_variants_random"] = "SELECT ordinal::BIGINT AS ordinal, ops FROM (VALUES " + ", ".join(f"({i}, '{ops}')" for i, ops in _drawn()) + ") v(ordinal, ops)"
 QUERIES |= {"colour_change": colour_change, "segment_targets": segment_targets, "scene_analysis": scene_analysis}
