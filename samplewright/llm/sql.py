@@ -45,7 +45,27 @@ RUNS = f"""WITH cur AS (SELECT * FROM node_runs WHERE job_id IS NOT NULL AND nod
 runs AS (SELECT operator, backend_id, CAST(CAST(started_at AS DATE) AS VARCHAR) AS run_day, duration_ms FROM cur
   WHERE {bare('status')} = 'succeeded' AND cache_hit = 0 AND duration_ms >= 0 AND backend_id IS NOT NULL AND started_at IS NOT NULL)"""
 
+# Candidates in order, with the earlier ones that each is linked to, then one after the other: a list of those that were struck.
+HISTORY = f"""WITH RECURSIVE old AS MATERIALIZED (SELECT sample_id AS id, {digest('digest')} AS d, {fingerprint('perceptual_hash')} AS h FROM samples WHERE {bare('state')} IN ('source', 'accepted')),
+now AS (SELECT * FROM candidates WHERE candidate_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY updated_at DESC) = 1),
+ph AS (SELECT candidate_id, {fingerprint('perceptual_hash')} AS h FROM provenance WHERE candidate_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY created_at DESC) = 1),
+whenj AS (SELECT job_id, min(created_at) AS job_at FROM jobs GROUP BY job_id),
+new AS MATERIALIZED (SELECT candidate_id AS id, {digest('output_digest')} AS d, h, row_number() OVER (ORDER BY coalesce(job_at, TIMESTAMP '9999-12-31'), candidate_id) AS k
+  FROM now LEFT JOIN ph USING (candidate_id) LEFT JOIN whenj USING (job_id) WHERE {bare('state')} = 'accepted'),
+same AS (SELECT b.k, a.id AS ref, 0 AS pool, 0::BIGINT AS since, 0 AS distance FROM new b JOIN old a ON left(a.d, 16) = left(b.d, 16) AND (starts_with(a.d, b.d) OR starts_with(b.d, a.d))
+  UNION ALL SELECT b.k, a.id, 1, a.k, 0 FROM new b JOIN new a ON a.k < b.k AND left(a.d, 16) = left(b.d, 16) AND (starts_with(a.d, b.d) OR starts_with(b.d, a.d))),
+near AS (SELECT b.k, a.id AS ref, 0 AS pool, 0::BIGINT AS since, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM new b JOIN old a ON bit_count(xor(a.h, b.h)) <= 6
+  UNION ALL SELECT b.k, a.id, 1, a.k, bit_count(xor(a.h, b.h))::INTEGER FROM new b JOIN new a ON a.k < b.k AND bit_count(xor(a.h, b.h)) <= 6),
+link AS MATERIALIZED (SELECT * FROM same UNION ALL SELECT * FROM near),
+open AS MATERIALIZED (SELECT k, row_number() OVER (ORDER BY k) AS i, bool_or(pool = 0) AS hit, list(since) FILTER (pool = 1) AS before FROM link GROUP BY k),
+step AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS struck UNION ALL SELECT o.i, CASE WHEN hit OR coalesce(len([1 FOR x IN before IF NOT list_contains(struck, x)]), 0) > 0 THEN list_append(struck, o.k) ELSE struck END FROM step JOIN open o ON o.i = step.i + 1),
+gone AS (SELECT unnest(struck) AS k FROM step WHERE i = (SELECT max(i) FROM step))"""
+
 SQL = {
+    "p1_found": f"{HISTORY} SELECT id AS candidate_id FROM new JOIN gone USING (k)",
+    "p1_decisions": f"""{HISTORY}, best AS (SELECT k, arg_min(struct_pack(ref, distance), struct_pack(distance, pool, since, ref)) AS m FROM link JOIN gone USING (k)
+  WHERE pool = 0 OR since NOT IN (SELECT k FROM gone) GROUP BY k)
+SELECT id AS candidate_id, CASE WHEN m.distance = 0 THEN 'exact' ELSE 'near' END AS kind, m.ref AS reference_id, m.distance AS distance FROM best JOIN new USING (k)""",
     "p2_found": f"{CUTS} SELECT scored.cat AS category, candidate_id FROM scored JOIN cut USING (cat) WHERE s >= cutoff",
     "p2_cutoffs": f"{CUTS} SELECT cat AS category, cut.n, k, cutoff, count(*) AS kept FROM scored JOIN cut USING (cat) WHERE s >= cutoff GROUP BY ALL",
     "p3_found": f"{PAIRS} SELECT least(t, e) AS candidate_a, greatest(t, e) AS candidate_b FROM hit",
