@@ -222,7 +222,8 @@ _DIALLED = re.compile(r"[+(]{0,2}\d[\d\s().\-/]*\d(?:\s?(?:ext|x|Durchwahl)\.?\s
 _EDGE = " \t\r\n 　,;:!?\"'“”„‘’«»<>|=，。；：、！？“”"
 _NEAR = 12
 #: A street number and name up to the kind of street, where a word follows without a comma; and a whole name before initials and another surname.
-_STREET = re.compile(r"(?:Flat\s\d+,\s)?\d+\s\S+\s(?:Street|St\.|Road|Rd\.|Avenue|Ave|Lane|Close|Terrace|Drive|Blvd|Way|Court)(?=\s[^\W\d])")
+_STREET = re.compile(r"(?:Flat\s\d+,\s)?\d+\s\S+\s(?:Street|St\.|Road|Rd\.|Avenue|Ave|Lane|Close|Terrace|Drive|Blvd|Way|Court)(?=[^\S\r\n][^\W\d])")
+_HAN_NAME = re.compile("[\u3400-\u9fff·]{2,6}")
 _TWO_NAMES = re.compile(r"([^\W\d][\w'’-]+\s[^\W\d][\w'’-]+)\s((?:[^\W\d]\.\s?)+[^\W\d][\w'’-]+)")
 
 
@@ -314,6 +315,8 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int] | None:
         return (start, end) if _digits(text[start:end]) and any(c.isalpha() for c in text[start:end]) else None
     while end > start and text[end - 1] in ".-(/":
         end -= 1
+    if _HAN_NAME.fullmatch(text, start, end):
+        return start, end
     words = [w for w in re.split(r"[\s,.]+", text[start:end]) if w]
     return (start, end) if len(words) >= 2 and max(map(len, words)) >= 2 and not _digits(text[start:end]) else None
 

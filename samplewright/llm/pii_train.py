@@ -1,11 +1,12 @@
 """Training of the tagger of :mod:`pii`, in numpy, from labelled spans.
 
-    OMP_NUM_THREADS=1 python -m samplewright.llm.pii_train DOCUMENTS.parquet... [--seconds 900]
+    OMP_NUM_THREADS=1 python -m samplewright.llm.pii_train DOCUMENTS.parquet... [--seconds 900] [--start WEIGHTS.npz]
 
 The tables have no labels, so spans are labelled here by the forms and name parts that occur in
 them (``labelled``); this is used for training and for the held-out figure only, never by a query. Training
 windows are cut around labelled spans and at random; in most of them the spans are
-replaced by invented ones (``invented``), so that the network learns form and surroundings, not names.
+replaced by invented ones (``invented``), so that the network learns form and surroundings, not names. WRITTEN of the windows are cut
+from sentences that are made up (:mod:`pii_texts`) with names, numbers and addresses of many countries, and with numbers and names of things that are no places.
 At most ROWS documents are read.
 """
 
@@ -21,11 +22,15 @@ from collections import Counter
 
 import numpy as np
 
-from samplewright.llm.pii import FIRST_HAN, KINDS, PAD, TAGS, WEIGHTS, Tagger, allowed, code_table, places, points
+from samplewright.llm import pii_texts
+from samplewright.llm.pii import FIRST_HAN, HAN, KINDS, PAD, TAGS, WEIGHTS, Tagger, allowed, code_table, places, points
 
 #: Bound on the labelled sample, size of the network, window length, windows of a step in each process, Han characters told apart.
 ROWS, HIDDEN, EMBED, LENGTH, BATCH, HAN_COUNT = 20_000, 64, 32, 128, 64, 300
 
+#: Share of the windows that are cut from made-up sentences.
+WRITTEN = 0.4
+
 FIRST = "Bram Rafael Dario Tobin Leocadie Zoë Ilsa Joris Björn Íñigo Solène Ulrike Ottilie Lucian Odalys Farah Yvaine Mirela Begoña Wanda Yusuf Henrik Xenia Petra Imke Clémence Sanne Sunniva Callum Anselm Amparo Maren Teodor Kofi Viggo Ruta Zelda Jürgen Noor Anaïs".split()
 SUR_A = "tov mirn gorm vel ostr rusk wend fer yarl sarv kestr dunv brask thal cald norr zim lumb pell ursk jarn ister hald quen elsk".split()
 SUR_B = "ard ast dry emann ier orsky oukis rin ström wick aldi enby ik ovan quist mere ález ette".split()
@@ -80,7 +85,9 @@ _IDS = "999-99-9999|999 99 9999|000-99-9999|666 99 9999|AA999999A|AA 99 99 99 A|
 
 
 def invented(kind: str, rng: random.Random) -> str:
-    """A made-up place of a kind."""
+    """A made-up place of a kind, every other one in the forms of :mod:`pii_texts`."""
+    if rng.random() < 0.5:
+        return pii_texts.place(kind, rng)
     first = lambda: rng.choice(FIRST) if rng.random() < 0.35 else _word(rng)
     sur = lambda: (rng.choice(SUR_A) + rng.choice(SUR_B)).capitalize() if rng.random() < 0.35 else _word(rng) + rng.choice(("", "", "son", "ski", "er", "ez", "in"))
     if kind == "person":
@@ -125,8 +132,8 @@ def invented(kind: str, rng: random.Random) -> str:
     return f"{a}{sep}{postcode} {town}" if rng.random() < 0.4 else a
 
 
-def window(text: str, spans: list[tuple[int, int, str]], rng: random.Random) -> tuple[str, list[int]]:
-    """A window of LENGTH characters and its tags, most often around a span, its spans mostly replaced."""
+def window(text: str, spans: list[tuple[int, int, str]], rng: random.Random, swap: bool = True) -> tuple[str, list[int]]:
+    """A window of LENGTH characters and its tags, most often around a span, its spans mostly replaced unless ``swap`` is false."""
     if spans and rng.random() < 0.75:
         s, e, _ = rng.choice(spans)
         at = rng.randint(max(0, e - LENGTH + 8), s) if s > max(0, e - LENGTH + 8) else s
@@ -135,7 +142,7 @@ def window(text: str, spans: list[tuple[int, int, str]], rng: random.Random) ->
     if at < LENGTH // 2 and rng.random() < 0.5:
         at = 0
     pieces, tags, done = [], [], at
-    swap = rng.random() < 0.7
+    swap = swap and rng.random() < 0.7
     for s, e, kind in spans:
         if e <= at or s >= at + 2 * LENGTH:
             continue
@@ -266,17 +273,29 @@ def _work(pipe, texts: list[str], spans: list, table: np.ndarray, seed: int) ->
     rng = random.Random(seed)
     with_spans = [i for i, s in enumerate(spans) if s]
     while (w := pipe.recv()) is not None:
-        chosen = [rng.choice(with_spans) if rng.random() < 0.65 else rng.randrange(len(texts)) for _ in range(BATCH)]
-        made = [window(texts[i], spans[i], rng) for i in chosen]
+        made = []
+        for _ in range(BATCH):
+            if rng.random() < WRITTEN:
+                made.append(window(*pii_texts.passage(rng), rng, swap=False))
+            else:
+                i = rng.choice(with_spans) if rng.random() < 0.65 else rng.randrange(len(texts))
+                made.append(window(texts[i], spans[i], rng))
         codes = np.stack([table[points(t)] for t, _ in made], 1).astype(np.int64)
         pipe.send(gradient(w, codes, np.array([g for _, g in made], np.int64).T))
 
 
-def train(texts: list[str], seconds: float, seed: int = 0, rate: float = 6e-3, processes: int = 8) -> dict[str, np.ndarray]:
-    """Adam over the windows of all processes until the time is used; the rate falls to nothing by then."""
+def extended(w: dict[str, np.ndarray], han: str) -> dict[str, np.ndarray]:
+    """Weights that tell further Han characters apart, which begin as what they were: any Han character."""
+    new = "".join(c for c in dict.fromkeys(han) if c not in str(w["han"]))
+    return {k: v if k == "han" else v.astype(np.float32) for k, v in w.items()} | {"han": np.array(str(w["han"]) + new), "e": np.concatenate([w["e"], np.repeat(w["e"][[HAN]], len(new), 0)]).astype(np.float32)}
+
+
+def train(texts: list[str], seconds: float, seed: int = 0, rate: float = 6e-3, processes: int = 8, start: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Adam over the windows of all processes until the time is used, from ``start`` if given; the rate falls to nothing by then."""
     spans = [labelled(t) for t in texts]
     han = "".join(c for c, _ in Counter(c for t in texts for c in t if "㐀" <= c <= "鿿").most_common(HAN_COUNT))
-    w, table = initial(han, seed), code_table(han)
+    w = extended(start, pii_texts.HAN) if start else initial("".join(dict.fromkeys(han + pii_texts.HAN)), seed)
+    table = code_table(str(w["han"]))
     table[0] = PAD
     context = multiprocessing.get_context("fork")
     pipes = []
@@ -331,11 +350,12 @@ def main(args: list[str]) -> None:
 
     seconds = float(args[args.index("--seconds") + 1]) if "--seconds" in args else 900.0
     out = args[args.index("--out") + 1] if "--out" in args else WEIGHTS
-    files = [a for i, a in enumerate(args) if not a.startswith("--") and (i == 0 or args[i - 1] not in ("--seconds", "--out"))]
+    start = dict(np.load(args[args.index("--start") + 1])) if "--start" in args else None
+    files = [a for i, a in enumerate(args) if not a.startswith("--") and (i == 0 or args[i - 1] not in ("--seconds", "--out", "--start"))]
     texts = list(dict.fromkeys(t for f in files for t in pd.read_parquet(f, columns=["text"])["text"].dropna() if t))[:ROWS]
     random.Random(1).shuffle(texts)
     held = len(texts) // 10
-    w = train(texts[held:], seconds)
+    w = train(texts[held:], seconds, rate=2e-3 if start else 6e-3, start=start)
     np.savez_compressed(out, **{k: x if k == "han" else x.astype(np.float16) for k, x in w.items()})
     print({k: (round(p, 4), round(r, 4)) for k, (p, r) in score(w, texts[:held], 40).items()})
 

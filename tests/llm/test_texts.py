@@ -196,6 +196,31 @@ def test_find_and_redact_on_tables(spark):
     assert pii.find(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
 
 
+def test_hand_written_sentences():
+    """Names, numbers and addresses of ordinary life, which the tables do not hold; the README has the figures by kind."""
+    import held_out
+
+    hit = found = true = 0
+    for text, want in held_out.cases():
+        got = set(pii.places([text])[0])
+        hit, found, true = hit + len(got & want), found + len(got), true + len(want)
+    assert true == 57 and hit / true > 0.7 and hit / found > 0.8
+
+
+def test_names_in_han_characters_and_made_up_passages():
+    from collections import Counter
+
+    from samplewright.llm import pii_texts
+
+    assert ("王小明", "person") in spots("请联系王小明，电话13912345678。")
+    rng, hit, found, true = random.Random(99), Counter(), Counter(), Counter()
+    for text, want in (pii_texts.passage(rng) for _ in range(300)):
+        got = set(pii.places([text])[0])
+        for count, some in ((hit, got & set(want)), (found, got), (true, want)):
+            count.update(k for *_, k in some)
+    assert set(true) == set(pii.KINDS) and all(hit[k] > 0.98 * max(found[k], true[k]) for k in true)
+
+
 def test_decoding_against_all_paths():
     """Viterbi with the shortcut for windows without places equals the best of all tag sequences."""
     import itertools
