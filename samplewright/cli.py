@@ -102,7 +102,7 @@ def run(a) -> int:
 
 def _evidence(a):
     decided = session().read.parquet(f"{a.folder}/decided")
-    return decided.drop("overall", "failed_gates", "borderline_gates", "warned_gates", "missing_gates", "reason_codes")
+    return decided.drop("overall", "failed_gates", "borderline_gates", "warned_gates", "missing_gates", "reason_codes", "policy_hash")
 
 
 def qa(a) -> int:

@@ -110,11 +110,11 @@ def rebuild(source: DataFrame, regenerated: DataFrame, least_iou: float = 0.5, c
     """Labels of a produced image: what it inherits from its source and the regenerated target.
 
     ``regenerated`` holds ``image, source_image, object_id, category, x_min .. y_max, area, iscrowd, polygon, found`` and the replaced box ``r_x_min ..``. The replaced
-    object is found by IoU, since detectors number objects differently; inherited labels that the new object covers drop out (by default, whose box lies whole in the new one; ``covered`` may test its mask, see
+    object is found by IoU, since detectors number objects differently; inherited labels that the new object covers drop out (by default, whose box lies whole in the new one; ``covered`` may test its ``mask``, which then stands under ``n_mask, n_width, n_height`` beside the inherited label, see
     :func:`samplewright.operators.raster.covered`), and an object that was not found leaves no label at all.
     """
     present = regenerated.filter("found")
-    inherited = source.withColumnRenamed("image", "source_image").join(present.select("image", "source_image", *[F.col(e).alias(f"n_{e}") for e in g.EDGES], *[f"r_{e}" for e in g.EDGES]), "source_image")
+    inherited = source.withColumnRenamed("image", "source_image").join(present.select("image", "source_image", *[F.col(c).alias(f"n_{c}") for c in [*g.EDGES, "mask", "width", "height"] if c in present.columns], *[f"r_{e}" for e in g.EDGES]), "source_image")
     own, new, replaced = g.box(), g.box("n_"), g.box("r_")
     if covered is None:
         covered = (own["x_min"] >= new["x_min"]) & (own["y_min"] >= new["y_min"]) & (own["x_max"] <= new["x_max"]) & (own["y_max"] <= new["y_max"])

@@ -57,12 +57,14 @@ def plan(targets: DataFrame, values: Sequence[str], recipe: Recipe) -> DataFrame
     rows = targets.select("*", F.inline(keys))
     text = recipe.replacement.prompt
     text = F.replace(F.lit(text if "{scene}" in text else f"{text}, {{scene}}"), F.lit("{scene}"), F.col("background")) if "background" in targets.columns else F.lit(text)
-    prompt = F.replace(F.replace(text, F.lit("{value}"), F.col("category")), F.lit("{class}"), F.col("class_name"))
+    for slot, value in (("{value}", F.col("category")), ("{category}", F.col("category")), ("{description}", F.lit(recipe.replacement.description or "") if recipe.replacement.strategy == "description" else F.col("category")), ("{class}", F.col("class_name"))):
+        text = F.replace(text, F.lit(slot), value)
+    prompt = F.concat(text, F.lit(recipe.preserve.request))
     rows = rows.withColumn("candidate_id", identity.candidate_id(F.col("sample_id"), F.col("object_id"), F.col("candidate_key")))
     return rows.withColumn("prompt", prompt).withColumn("seed", seeds.derive_column(recipe.seed, F.col("sample_id"), F.col("object_id"), F.col("candidate_key")))
 
 
-_MEASURED = "candidate_id string, sample_id string, object_id string, category string, width int, height int, found boolean, coverage double, expected_coverage double, semantic_match double, redetect_iou double, x_min double, y_min double, x_max double, y_max double, mask_area double, polygon_points int, category_matched boolean, pixels binary, "
+_MEASURED = "candidate_id string, sample_id string, object_id string, category string, width int, height int, found boolean, coverage double, expected_coverage double, semantic_match double, redetect_iou double, x_min double, y_min double, x_max double, y_max double, mask_area double, polygon_points int, polygon array<double>, mask binary, category_matched boolean, pixels binary, "
 
 
 def _evaluate(batch: pd.DataFrame) -> pd.DataFrame:
@@ -86,8 +88,9 @@ def _evaluate(batch: pd.DataFrame) -> pd.DataFrame:
         grey = lambda x: x.mean(1)
         measures = {**raster.background(source, refined, before), **raster.boundary(grey(refined), after), **raster.artifacts(grey(refined), after), **raster.movement(before, after)}
         s = raster.shape_of(after)
+        rings = [raster.simplify(raster.outline(m)).ravel().astype(float).tolist() for m in after]
         out = {"candidate_id": rows["candidate_id"], "sample_id": rows["sample_id"], "object_id": rows["object_id"], "category": rows["category"], "width": w, "height": h, "found": found, "coverage": after.mean((-2, -1)), "expected_coverage": before.mean((-2, -1)),
-               "semantic_match": np.round(backends.semantic(refined, after, rows["category"].tolist()), 6), "redetect_iou": np.round(iou, 6), **{e: np.where(found, s[e], np.nan) for e in g.EDGES}, "mask_area": s["area"].astype(float), "polygon_points": np.where(found, 4, 0), "category_matched": found, "pixels": packed}
+               "semantic_match": np.round(backends.semantic(refined, after, rows["category"].tolist()), 6), "redetect_iou": np.round(iou, 6), **{e: np.where(found, s[e], np.nan) for e in g.EDGES}, "mask_area": s["area"].astype(float), "polygon_points": [len(r) // 2 for r in rings], "polygon": rings, "mask": backends.pack_masks(after), "category_matched": found, "pixels": packed}
         parts.append(pd.DataFrame({**out, **{m: np.round(measures[m], 6) for m in raster.MEASURES if m in measures}}))
     return pd.concat(parts) if parts else batch
 
@@ -100,25 +103,25 @@ def run(images: DataFrame, recipe: Recipe) -> dict[str, DataFrame]:
 
     A target whose mask is refused stands in ``segments`` with its ``error_code`` and has no candidates.
     """
-    if not recipe.replacement.values:
+    if not recipe.replacement.choices:
         raise ValueError("replacement.values names no category")
     images = settle(images.select("sample_id", F.col("width").cast("int"), F.col("height").cast("int"), "pixels"), "job-images")
     detections = settle(detect(images, recipe), "job-detections")
     whole = images.select("sample_id", (F.col("width") * F.col("height")).alias("all"))
     usable = detections.join(whole, "sample_id").filter(F.col("area") <= MOST_COVERAGE * F.col("all")).drop("all")
     t = recipe.target
-    targets = select.select_targets(usable, t.classes, t.min_score, t.min_area_px, t.max_per_sample, t.order_by, t.strategy)
+    targets = select.select_targets(usable, t.classes, t.min_score, t.min_area_px, t.max_per_sample, t.order_by, t.strategy, t.object_ids)
     segments = settle(segment(targets.drop("ordinal"), images), "job-segments")
     planned = analyse(segments.filter("error_code is null").drop("error_code"), images)
-    candidates = settle(plan(planned, recipe.replacement.values, recipe), "job-candidates")
+    candidates = settle(plan(planned, recipe.replacement.choices, recipe), "job-candidates")
     requests = candidates.join(images, "sample_id")
     made = settle(backends.call(requests, backends.generator(_schema(requests, "pixels"))), "job-generated")
     measured = settle(backends.call(made, EVALUATOR), "job-measured")
     numbers = [c for c, kind in measured.dtypes if kind == "double"]
     measured = measured.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
     q = recipe.quality
-    wide = measured.drop("pixels").withColumns({"image_width": F.col("width"), "image_height": F.col("height")})
-    for outcome in (lambda d: outcomes.presence(d, q.minimum_target_presence), lambda d: outcomes.background(d, q.background_change_ceiling), outcomes.boundary, lambda d: outcomes.artifact(d, q.maximum_artifact_score), outcomes.geometry, lambda d: outcomes.annotation(d, 4.0)):
+    wide = measured.drop("pixels", "mask", "polygon").withColumns({"image_width": F.col("width"), "image_height": F.col("height")})
+    for outcome in (lambda d: outcomes.presence(d, q.minimum_target_presence), lambda d: outcomes.background(d, q.background_change_ceiling), outcomes.boundary, lambda d: outcomes.artifact(d, q.maximum_artifact_score), lambda d: outcomes.geometry(d, recipe.preserve.limits), lambda d: outcomes.annotation(d, 4.0)):
         wide = outcome(wide)
     job = {"images": images, "detections": detections, "targets": targets, "segments": segments, "candidates": candidates, "measured": measured, "decided": gates.decide(wide, recipe.policy())}
     return job | {"labels": labels(job)}
@@ -151,5 +154,7 @@ def labels(job: dict[str, DataFrame], decisions: Sequence[str] = ("accepted",),
     if source is None:
         source = d.select(F.col("sample_id").alias("image"), "object_id", F.col("class_name").alias("category"), *g.EDGES, F.col("area").cast("double").alias("area"), F.lit(0).alias("iscrowd"), F.lit(None).cast("array<double>").alias("polygon"))
     replaced = d.select("sample_id", "object_id", *[F.col(e).alias(f"r_{e}") for e in g.EDGES])
-    made = c.join(replaced, ["sample_id", "object_id"]).select(F.col("candidate_id").alias("image"), F.col("sample_id").alias("source_image"), F.col("candidate_id").alias("object_id"), "category", *g.EDGES, F.col("mask_area").alias("area"), F.lit(0).alias("iscrowd"), F.lit(None).cast("array<double>").alias("polygon"), "found", *[f"r_{e}" for e in g.EDGES])
-    return annotations.rebuild(source, made)
+    # The outline and the mask stay with the measurements; a label that lies whole in the mask is covered.
+    c = c.join(job["measured"].select("candidate_id", "polygon", "mask"), "candidate_id")
+    made = c.join(replaced, ["sample_id", "object_id"]).select("mask", "width", "height", F.col("candidate_id").alias("image"), F.col("sample_id").alias("source_image"), F.col("candidate_id").alias("object_id"), "category", *g.EDGES, F.col("mask_area").alias("area"), F.lit(0).alias("iscrowd"), "polygon", "found", *[f"r_{e}" for e in g.EDGES])
+    return annotations.rebuild(source, made, covered=raster.covered("n_mask", "n_width", "n_height", *g.EDGES))

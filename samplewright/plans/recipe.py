@@ -40,6 +40,7 @@ class Target:
     min_score: float = 0.0
     min_area_px: float = 0.0
     max_per_sample: int = 1
+    object_ids: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,46 @@ class Replacement:
     mode: str = "strict"
     candidates_per_object: int = 1
     prompt: str = "a {value} in place of the {class}"
+    strategy: str = "category"
+    description: str = ""
+    references: tuple[str, ...] = ()
+
+    @property
+    def choices(self) -> tuple[str, ...]:
+        """What candidates are made of in turn: categories, the description, or the names of the reference pictures."""
+        if self.strategy == "description":
+            return (self.description.strip(),)
+        if self.strategy == "reference":
+            return tuple(r.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[0] for r in self.references)
+        return tuple(dict.fromkeys(v.strip() for v in self.values if v.strip()))
+
+
+@dataclass(frozen=True)
+class Preserve:
+    """What a replacement must leave as it is, and how far its form may stray. ``ground`` is a fraction of the image height."""
+
+    background: str = "strict"
+    lighting: bool = True
+    pose: bool = True
+    scale: bool = True
+    position: bool = True
+    occlusion: bool = True
+    centroid: float = 0.08
+    area_min: float = 0.70
+    area_max: float = 1.45
+    aspect: float = 0.30
+    ground: float = 0.05
+
+    @property
+    def limits(self) -> dict[str, float]:
+        """The limits of the geometry outcome."""
+        return {"centroid_shift_max": self.centroid, "area_ratio_min": self.area_min, "area_ratio_max": self.area_max, "aspect_ratio_delta_max": self.aspect, "ground_contact_max": self.ground}
+
+    @property
+    def request(self) -> str:
+        """The end of a prompt that names what is to be kept."""
+        kept = ["background"] * (self.background == "strict") + [n for n in ("lighting", "pose", "scale", "position", "occlusion") if getattr(self, n)]
+        return f", keep {', '.join(kept)}" if kept else ""
 
 
 @dataclass(frozen=True)
@@ -84,6 +125,7 @@ class Recipe:
     seed: int = 0
     target: Target = Target()
     replacement: Replacement = Replacement()
+    preserve: Preserve = Preserve()
     quality: Quality = Quality()
     duplicates: Duplicates = Duplicates()
     export: Export = Export()
@@ -113,6 +155,8 @@ CHOICES = {
     ("target", "strategy"): ("all", "largest", "first", "explicit"),
     ("target", "order_by"): ("score", "area"),
     ("replacement", "mode"): ("strict", "creative"),
+    ("replacement", "strategy"): ("category", "description", "reference"),
+    ("preserve", "background"): ("strict", "balanced", "loose"),
     ("duplicates", "algorithm"): ("phash", "ahash", "dhash", "none"),
     ("export", "format"): ("coco", "yolo"),
 }
@@ -177,6 +221,14 @@ def load(document: dict) -> Recipe:
         problems += [f"quality: gate of {m} must lie in [0, 1]" for g in (q.hard_gates, q.warn_gates) for m, t in g.items() if not isinstance(t, int | float) or not 0 <= t <= 1]
         problems += [f"quality: {m} cannot be a hard and a warning gate" for m in q.hard_gates if m in q.warn_gates]
         problems += protected_splits_allowed(["val" if s in ("validation", "valid") else s for s in recipe.dataset.augment_splits], recipe.dataset.allow_protected_splits, recipe.export.strict)
+        if recipe.target.strategy == "explicit" and not recipe.target.object_ids:
+            problems.append("target.object_ids: strategy explicit needs some")
+        needs = {"description": "description", "reference": "references"}.get(recipe.replacement.strategy)
+        if needs and not any(recipe.replacement.choices):
+            problems.append(f"replacement.{needs}: strategy {recipe.replacement.strategy} needs it")
+        p = recipe.preserve
+        problems += [f"preserve.{n}: must be positive" for n in ("centroid", "area_min", "area_max", "ground") if getattr(p, n) <= 0]
+        problems += ["preserve.area_max: must not be below area_min"] * (p.area_max < p.area_min)
         if not 0 <= recipe.seed < 2**63:
             problems.append("seed: must lie in [0, 2^63 - 1]")
     if problems:

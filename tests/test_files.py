@@ -149,6 +149,32 @@ def test_yolo(spark, tmp_path):
     assert got["car_0000"] == "1 0.150000 0.500000 0.200000 0.600000" and got["bus_0000"].split()[1:] == ["0.000000", "0.000000", "0.200000", "0.000000", "0.200000", "0.400000"]
 
 
+def test_regenerated_labels_have_outlines_and_cover_by_mask(spark):
+    x = np.full((3, 40, 48), 0.45)
+    x[:, 10:30, 8:32] = 0.95
+    x[:, 10:18, 8:16] = 0.45  # the block lacks a corner
+    picture = spark.createDataFrame([("s", 48, 40, bytearray(np.round(x * 255).astype(np.uint8).tobytes()))], "sample_id string, width int, height int, pixels binary")
+    job = pipeline.run(picture, recipe.load({"name": "j", "dataset": {"path": "."}, "target": {"classes": ["block"]}, "replacement": {"values": ["sedan"]}, "quality": {"minimum_overall": 0.1}}))
+    inside, corner = (20.0, 20.0, 26.0, 26.0), (9.0, 11.0, 14.0, 16.0)
+    source = spark.createDataFrame([("s", f"o{i}", "thing", *b, 9.0, 0, None) for i, b in enumerate((inside, corner))], "image string, object_id string, category string, x_min double, y_min double, x_max double, y_max double, area double, iscrowd int, polygon array<double>")
+    made = pipeline.labels(job, ("accepted", "needs_review", "rejected"), source).collect()
+    assert {r["object_id"] for r in made if r["origin"] == "inherited"} == {"o1"}  # in the box, but not under the mask
+    new = next(r for r in made if r["origin"] == "regenerated")
+    assert len(new["polygon"]) >= 12 and (min(new["polygon"][::2]), max(new["polygon"][::2])) == (new["x_min"], new["x_max"])
+
+
+def test_replacement_strategies_and_what_is_preserved():
+    base = {"name": "x", "dataset": {"path": "a"}}
+    of = lambda **r: recipe.load(base | r)
+    assert of(replacement={"strategy": "description", "description": " a red van "}).replacement.choices == ("a red van",)
+    assert of(replacement={"strategy": "reference", "references": ["in/van 1.png", "b.c.jpg"]}).replacement.choices == ("van 1", "b.c")
+    assert of(preserve={"background": "loose", "pose": False, "area_max": 2.0}).preserve.limits["area_ratio_max"] == 2.0
+    assert of(preserve={"background": "loose", "pose": False}).preserve.request == ", keep lighting, scale, position, occlusion"
+    for wrong in ({"replacement": {"strategy": "reference"}}, {"replacement": {"strategy": "description"}}, {"preserve": {"area_min": 2.0}}, {"preserve": {"background": "no"}}, {"target": {"strategy": "explicit"}}):
+        with pytest.raises(recipe.RecipeError):
+            of(**wrong)
+
+
 def test_recipe_reports_every_problem():
     with pytest.raises(recipe.RecipeError) as e:
         recipe.load({"name": "x", "dataset": {"path": 1, "foo": 2}, "target": {"strategy": "no"}})
@@ -270,7 +296,7 @@ def test_a_job_segments_analyses_and_labels(spark):
     job = pipeline.run(pictures, recipe.load({"name": "j", "dataset": {"path": "."}, "target": {"classes": ["block"]}, "replacement": {"values": ["sedan"]}, "quality": {"minimum_overall": 0.4}}))
     assert job["detections"].first()["area"] == 152  # opening takes the corners, which the segmenter brings back
     made = job["candidates"].first()
-    assert made["area"] == sum(made["mask"]) == 156 and len(made["polygon"]) >= 8 and made["prompt"] == "a sedan in place of the block, a flat mid-tone background"
+    assert made["area"] == sum(made["mask"]) == 156 and len(made["polygon"]) >= 8 and made["prompt"] == "a sedan in place of the block, a flat mid-tone background, keep background, lighting, pose, scale, position, occlusion"
     assert job["segments"].count() == 1 and {r["image"] for r in job["labels"].collect()} == {r["candidate_id"] for r in job["decided"].filter("decision = 'accepted'").collect()}
 
 
