@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samplewright.session import settle
 
@@ -65,14 +66,37 @@ def read_event_log(spark, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def write_once(rows: DataFrame, folder: str, digest: str = "digest") -> DataFrame:
-    """Append artifacts by content digest; a digest already stored is not written again. Gives the rows whose bytes do not match their digest."""
+#: Bytes of the largest artifact that is stored.
+MOST_BYTES = 256 * 1024 * 1024
+
+
+def write_once(rows: DataFrame, folder: str, digest: str = "digest", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Append artifacts by content digest; a digest already stored is not written again.
+
+    Gives the rows that were refused, with ``problem``: bytes that do not match their digest, no bytes, or more than ``most_bytes``.
+    """
     spark = rows.sparkSession
     rows = settle(rows, "artifacts")
-    wrong = rows.filter(F.sha2("content", 256) != F.col(digest))
-    good = rows.filter(F.sha2("content", 256) == F.col(digest)).dropDuplicates([digest])
+    problem = F.when(F.col("content").isNull(), "no content").when(F.length("content") > most_bytes, "too large").when(~F.sha2("content", 256).eqNullSafe(F.col(digest)), "digest differs")
+    wrong = rows.withColumn("problem", problem).filter("problem is not null")
+    good = rows.filter(problem.isNull()).dropDuplicates([digest])
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         good = good.join(spark.read.parquet(folder).select(digest), digest, "left_anti")
     good.withColumn("prefix", F.substring(digest, 1, 2)).write.mode("append").partitionBy("prefix").parquet(folder)
     return wrong
+
+
+def read_artifacts(spark, folder: str, wanted: DataFrame, digest: str = "digest") -> tuple[DataFrame, DataFrame]:
+    """Stored artifacts of the wanted digests whose bytes still match, and the digests that are missing or damaged.
+
+    Only the folders of their first two digits are read.
+    """
+    wanted = wanted.select(digest).distinct()
+    prefixes = [r[0] for r in wanted.select(F.substring(digest, 1, 2)).distinct().collect()]  # 256 at most
+    kept = [f for f in spark.read.parquet(folder).schema if f.name != "prefix"]
+    # Stated, because two hexadecimal digits such as 2d may look like a number.
+    stored = spark.read.schema(T.StructType([*kept, T.StructField("prefix", T.StringType())])).parquet(folder)
+    found = stored.filter(F.col("prefix").isin(prefixes)).join(wanted, digest, "left_semi").drop("prefix")
+    good = found.filter(F.sha2("content", 256) == F.col(digest))
+    return good, wanted.join(good.select(digest), digest, "left_anti")
