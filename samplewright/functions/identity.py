@@ -56,9 +56,14 @@ def sample_id(root_digest: Column, path: Column) -> Column:
 
 
 def object_id(asset: Column, frame: Column, class_name: Column, box: dict[str, Column], score: Column) -> Column:
-    """Of an object in a frame; box and score are quantised so that jitter keeps the identity."""
-    edges = F.concat(F.lit("["), F.concat_ws(",", *[number(quantise(box[e], 2.0)) for e in ("x_min", "y_min", "x_max", "y_max")]), F.lit("]"))
-    return identifier("o_", record({"asset": text(asset), "frame": frame.cast("string"), "class": text(class_name), "box": edges, "score": score_text(score)}), 12)
+    """Of an object in a frame; box and score are quantised so that jitter keeps the identity. ``asset`` is a digest, which needs no escapes.
+
+    The record is put together in one piece: with a test for null around each part, the generated code is too long for the JVM to compile.
+    """
+    even = lambda v: F.concat((F.rint(v / 2.0).try_cast("bigint") * 2).cast("string"), F.lit(".0"))
+    edges = F.concat_ws(",", *[even(box[e]) for e in ("x_min", "y_min", "x_max", "y_max")])
+    whole = F.concat(F.lit('{"asset":"'), asset, F.lit('","box":['), edges, F.lit('],"class":'), text(class_name), F.lit(',"frame":'), frame.cast("string"), F.lit(',"score":'), score_text(score), F.lit("}"))
+    return identifier("o_", whole, 12)
 
 
 def candidate_id(sample: Column, target: Column, key: Column) -> Column:
