@@ -18,6 +18,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from samplewright.session import shuffled
+
 BITS, TAU, SEGMENTS, MOST_SEGMENTS = 64, 6, 8, 12
 #: Strings a bucket is expected to hold at most. A key costs about thirty times as much as a comparison, so with more than this the next, three times
 #: as many keys pay for themselves.
@@ -80,7 +82,7 @@ def near_pairs(probe: DataFrame, stored: DataFrame, segments: int = SEGMENTS, ta
     Both sides are outputs of :func:`index` over distinct hashes in a column ``h``. AQE splits a bucket that many different hashes share.
     """
     a, b, distance = F.col("a"), F.col("b"), hamming(F.col("a"), F.col("b"))
-    met = probe.select(F.col("h").alias("a"), "key").join(stored.select(F.col("h").alias("b"), "key"), "key")
+    met = probe.select(F.col("h").alias("a"), "key").join(shuffled(stored.select(F.col("h").alias("b"), "key")), "key")
     return met.filter((distance <= tau) & first_meeting(a, b, F.col("key"), segments, tau)).select("a", "b", distance.alias("distance"))
 
 
@@ -90,7 +92,7 @@ def near_among(keys: DataFrame, segments: int = SEGMENTS, tau: int = TAU) -> Dat
     Each bucket is compared with itself once, in one order, so both sides of the join are the same shuffle.
     """
     a, b, distance = F.col("a"), F.col("b"), hamming(F.col("a"), F.col("b"))
-    met = keys.select(F.col("h").alias("a"), "key").join(keys.select(F.col("h").alias("b"), "key"), "key")
+    met = keys.select(F.col("h").alias("a"), "key").join(shuffled(keys.select(F.col("h").alias("b"), "key")), "key")
     half = met.filter((a < b) & (distance <= tau) & first_meeting(a, b, F.col("key"), segments, tau)).select("a", "b", distance.alias("distance"))
     return half.select(F.inline(F.array(F.struct("a", "b", "distance"), F.struct(b.alias("a"), a.alias("b"), "distance"))))
 
@@ -104,4 +106,4 @@ def prefix_pairs(probe: DataFrame, stored: DataFrame) -> DataFrame:
     """``a`` and the columns of ``stored`` for every digest ``d`` of ``probe`` and ``b`` of ``stored`` of which one begins with the other."""
     left = probe.select(F.col("d").alias("a"), prefix("d").alias("segment"))
     a, b = F.col("a"), F.col("b")
-    return left.join(stored.withColumn("segment", prefix("b")), "segment").filter(a.startswith(b) | b.startswith(a)).drop("segment")
+    return left.join(shuffled(stored.withColumn("segment", prefix("b"))), "segment").filter(a.startswith(b) | b.startswith(a)).drop("segment")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from samplewright.functions import clean, segments
 from samplewright.llm.tables import latest
-from samplewright.session import scratch, settle
+from samplewright.session import scratch, settle, shuffled, sweep
 
 
 def history_values(samples: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def batch_values(candidates: DataFrame, provenance: DataFrame, jobs: DataFrame)
     hashes = latest(provenance, ["candidate_id"], [F.col("created_at")], {"h": clean.fingerprint(F.col("perceptual_hash"))})
     when = jobs.filter("job_id is not null").groupBy("job_id").agg(F.min("created_at").alias("job_at"))
     far = F.lit("9999-12-31 00:00:00").cast(jobs.schema["created_at"].dataType)
-    joined = current.join(hashes, "candidate_id", "left").join(when, "job_id", "left")
+    joined = current.join(shuffled(hashes), "candidate_id", "left").join(when, "job_id", "left")
     return joined.select(F.col("candidate_id").alias("id"), F.struct(F.coalesce("job_at", far).alias("at"), F.col("candidate_id").alias("id")).alias("ord"), "d", "h")
 
 
@@ -61,7 +61,7 @@ def _settle_order(batch: DataFrame, struck: DataFrame, linked: DataFrame) -> Dat
     ``struck`` are the values ``kind, key`` that the history holds or is near to, ``linked`` the linked values ``kind, key, near`` within the batch.
     """
     nothing = F.lit(None).cast(batch.schema["ord"].dataType)
-    rows = _keys(batch, "id", "ord").join(struck.withColumn("hit", F.lit(True)), ["kind", "key"], "left")
+    rows = _keys(batch, "id", "ord").join(shuffled(struck.withColumn("hit", F.lit(True))), ["kind", "key"], "left")
     hit = rows.groupBy("id").agg(F.max("ord").alias("ord"), F.max("hit").alias("hit"), F.collect_list(F.struct("kind", "key")).alias("keys"))  # two values a row at most
     state = settle(hit.select("id", "ord", "keys", F.when(F.col("hit"), False).alias("kept")), "p1-round")
     decided = [batch.filter("d is null and h is null").select("id", "ord", F.lit(True).alias("kept")), state.filter("kept is not null").select("id", "ord", "kept")]
@@ -71,9 +71,9 @@ def _settle_order(batch: DataFrame, struck: DataFrame, linked: DataFrame) -> Dat
         # The earliest open and the earliest newly kept order of every value, then of every value together with its linked ones.
         first = waiting.select("kind", "key", F.col("ord").alias("open"), nothing.alias("held")).unionByName(fresh.select("kind", "key", nothing.alias("open"), F.col("ord").alias("held")))
         first = first.groupBy("kind", "key").agg(F.min("open").alias("open"), F.min("held").alias("held"))
-        around = linked.select("kind", F.col("near").alias("key"), F.col("key").alias("own")).join(first, ["kind", "key"]).select("kind", F.col("own").alias("key"), "open", "held")
+        around = linked.select("kind", F.col("near").alias("key"), F.col("key").alias("own")).join(shuffled(first), ["kind", "key"]).select("kind", F.col("own").alias("key"), "open", "held")
         around = first.unionByName(around).groupBy("kind", "key").agg(F.min("open").alias("open"), F.min("held").alias("held"))
-        seen = waiting.join(around, ["kind", "key"]).groupBy("id").agg(F.max("ord").alias("ord"), F.min("open").alias("open"), F.min("held").alias("held"), F.collect_list(F.struct("kind", "key")).alias("keys"))
+        seen = waiting.join(shuffled(around), ["kind", "key"]).groupBy("id").agg(F.max("ord").alias("ord"), F.min("open").alias("open"), F.min("held").alias("held"), F.collect_list(F.struct("kind", "key")).alias("keys"))
         verdict = F.when(F.col("held") < F.col("ord"), False).when(F.col("open") >= F.col("ord"), True)
         state = settle(seen.select("id", "ord", "keys", verdict.alias("kept")), "p1-round")
         decided.append(state.filter("kept is not null").select("id", "ord", "kept"))
@@ -141,6 +141,7 @@ class DuplicateIndex:
         self._write(digests, "digests", name)
         rows.select("id", "d", "h", "seq").write.mode("overwrite").parquet(f"{self._root}/values/batch={name}")
         self._mark(f"{self._generation}/commits/{name}")
+        sweep(self.spark)
 
     def accept(self, rows: DataFrame, batch: str) -> None:
         """Append the ``id, d, h`` rows of a batch: its values, digests and segments.
@@ -181,7 +182,11 @@ class DuplicateIndex:
         both = lambda near, same: near.select(F.lit("h").alias("kind"), F.col("a").cast("string").alias("key"), F.col("b").cast("string").alias("near"), "distance").unionByName(
             same.select(F.lit("d").alias("kind"), F.col("a").alias("key"), F.col("b").alias("near"), F.lit(0).alias("distance"))
         )
-        return settle(both(near_old, same_old), "p1-met"), settle(both(near_own, same_own), "p1-links")
+        met = settle(both(near_old, same_old), "p1-met")
+        sweep(self.spark)
+        linked = settle(both(near_own, same_own), "p1-links")
+        sweep(self.spark)
+        return met, linked
 
     def decide(self, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Decisions ``id, ord, kept`` for every row of a stored ``id, ord, d, h``, with its links to the history and within."""
@@ -201,12 +206,13 @@ class DuplicateIndex:
         first = lambda rows, kind: rows.groupBy("near").agg(F.min(F.struct("seq", "ref")).alias("m")).select(F.lit(kind).alias("kind"), "near", "m.seq", "m.ref")
         by_hash = self._stored("segments", self._SEGMENTS, self._touched(hashes)).filter("ref is not null").select("key", "h", "seq", "ref")
         by_digest = self._stored("digests", self._DIGESTS, self._touched(digests.select(segments.prefix("d").alias("key")))).select("d", "seq", "ref")
-        return first(hashes.join(by_hash, ["key", "h"]), "h").unionByName(first(digests.join(by_digest, "d"), "d"))
+        return first(hashes.join(shuffled(by_hash), ["key", "h"]), "h").unionByName(first(digests.join(shuffled(by_digest), "d"), "d"))
 
 
 def _after_samples(samples: DataFrame, batch: DataFrame) -> DuplicateIndex:
     """A new stored index that holds the samples in state source or accepted, with keys long enough for the batch as well."""
     history = settle(history_values(samples), "p1-history")
+    sweep(samples.sparkSession)
     hashes = history.select(F.count("h").alias("n")).first()["n"] + batch.select(F.count("h").alias("n")).first()["n"]
     index = DuplicateIndex(samples.sparkSession, scratch(samples.sparkSession, "p1-index"), pieces=segments.pieces_for(hashes))
     index.accept(history, "samples")
@@ -231,12 +237,12 @@ def decisions(candidates: DataFrame, provenance: DataFrame, jobs: DataFrame, sam
     decided, met, linked = index.decide(batch)
     decided = settle(decided, "p1-decided")
     nothing = F.lit(None).cast(batch.schema["ord"].dataType)
-    cases = _keys(batch, "id", "ord").join(decided.filter("not kept").select("id"), "id")
+    cases = _keys(batch, "id", "ord").join(shuffled(decided.filter("not kept").select("id")), "id")
     old = index.references(met).select("kind", "near", F.lit(0).alias("pool"), nothing.alias("since"), "ref")
-    old = cases.join(met, ["kind", "key"]).join(old, ["kind", "near"]).select("id", "distance", "pool", "since", "ref")
+    old = cases.join(shuffled(met), ["kind", "key"]).join(shuffled(old), ["kind", "near"]).select("id", "distance", "pool", "since", "ref")
     # One reference per value: of equal members only the first could ever be named.
-    kept = _keys(batch, "id", "ord").join(decided.filter("kept").select("id"), "id").groupBy("kind", "key").agg(F.min(F.struct("ord", "id")).alias("m")).select("kind", F.col("key").alias("near"), F.lit(1).alias("pool"), F.col("m.ord").alias("since"), F.col("m.id").alias("ref"))
-    own = cases.select("id", "ord", "kind", F.col("key").alias("near"), F.lit(0).alias("distance")).unionByName(cases.join(linked, ["kind", "key"]).select("id", "ord", "kind", "near", "distance"))
-    own = own.join(kept, ["kind", "near"]).filter("since < ord").select("id", "distance", "pool", "since", "ref")
+    kept = _keys(batch, "id", "ord").join(shuffled(decided.filter("kept").select("id")), "id").groupBy("kind", "key").agg(F.min(F.struct("ord", "id")).alias("m")).select("kind", F.col("key").alias("near"), F.lit(1).alias("pool"), F.col("m.ord").alias("since"), F.col("m.id").alias("ref"))
+    own = cases.select("id", "ord", "kind", F.col("key").alias("near"), F.lit(0).alias("distance")).unionByName(cases.join(shuffled(linked), ["kind", "key"]).select("id", "ord", "kind", "near", "distance"))
+    own = own.join(shuffled(kept), ["kind", "near"]).filter("since < ord").select("id", "distance", "pool", "since", "ref")
     best = old.unionByName(own).groupBy("id").agg(F.min(F.struct("distance", "pool", "since", "ref")).alias("m"))
     return best.select(F.col("id").alias("candidate_id"), F.when(F.col("m.distance") == 0, "exact").otherwise("near").alias("kind"), F.col("m.ref").alias("reference_id"), F.col("m.distance").alias("distance"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -93,6 +94,12 @@ def settle(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let the shuffle files of finished queries go now: Spark deletes them when the driver collects what refers to them, which otherwise is when its heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every settled table of this application; results that read them are gone then."""
     path = f"{shared_dir(spark)}/samplewright/{spark.sparkContext.applicationId}"
@@ -115,6 +122,15 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never broadcast, for sides that grow with the input.
+
+    The planner goes by the size of compressed files and counts neither exploded rows nor those that ``mapInArrow`` adds, so
+    what it takes for less than the threshold may be gigabytes when it reaches the driver.
+    """
+    return df.hint("merge")
+
+
 def lookup_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Column, how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
     """Join a table with hot keys to one row per key.
 

@@ -367,3 +367,28 @@ def test_overlaps_of_nothing(spark):
     p, c = overlap_tables(spark, [("a", "train", None, None, None)])
     assert split_overlap.found(p, c).count() == 0 and split_overlap.found(p.limit(0), c.limit(0)).count() == 0
     assert split_overlap.report(p.limit(0), c.limit(0)).count() == 0
+
+
+# ---- joins of what grows with the input -------------------------------------------------------------------------
+
+
+def broadcasts(spark, run):
+    """Plans with a broadcast join among those of all queries that ``run`` makes; small files look small enough for one."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    seen = store.executionsCount()
+    run()
+    bus.waitUntilEmpty(30_000)
+    made = store.executionsList(seen, 1000)
+    plans = [made.apply(i).physicalPlanDescription() for i in range(made.size())]
+    assert any("SortMergeJoin" in p for p in plans)
+    return [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_keys_of_hashes_are_not_sent_to_the_driver(spark):
+    rng = random.Random(6)
+    pool = near_family(rng, 40)
+    batch = [(f"c{i:03}", rng.randrange(3), hexes(rng, 64), rng.choice(pool)) for i in range(60)]
+    c, p, j, s = dedup_tables(spark, [("source", hexes(rng, 64), h) for h in pool[:10]], batch)
+    for f in (history_dedup.found, history_dedup.decisions):
+        assert not [x for x in broadcasts(spark, lambda f=f: f(c, p, j, s).collect()) if "job_at" not in x]  # jobs are one row a job
