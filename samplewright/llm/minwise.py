@@ -47,22 +47,25 @@ def signatures(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(values: DataFrame, rows: int, count: int, seed: int = SEED) -> DataFrame:
-    """``band, <column>`` for each value of a frame with one BIGINT column; ``band`` is a 64-bit digest of the band's number and content."""
-    name = values.columns[0]
+def bands(values: DataFrame, rows: int, count: int, seed: int = SEED, part: range | None = None) -> DataFrame:
+    """``band, <column>`` for each value of a frame with one BIGINT column; ``band`` is a 64-bit digest of the band's number and content.
+
+    ``part`` takes some of the ``count`` bands only, by their numbers from 0.
+    """
+    name, part = values.columns[0], range(count) if part is None else part
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks(rows * count, seed)
+        table = np.ascontiguousarray(ranks(rows * count, seed)[:, :, rows * part.start : rows * part.stop])
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(every), _STEP):
                 some = every[at : at + _STEP]
-                parts = signatures(some, table).reshape(len(some), count, rows)
-                band = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), (len(some), count)).copy()
+                parts = signatures(some, table).reshape(len(some), len(part), rows)
+                band = np.broadcast_to(np.arange(part.start + 1, part.stop + 1, dtype=np.uint64), (len(some), len(part))).copy()
                 for i in range(rows):
                     band *= np.uint64(0x9E3779B97F4A7C15)
                     band ^= band >> np.uint64(29)
                     band += parts[:, :, i]
-                yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), pa.array(np.repeat(some, count))], ["band", name])
+                yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), pa.array(np.repeat(some, len(part)))], ["band", name])
 
     return parallel(values).mapInArrow(run, f"band bigint, {name} bigint")

@@ -392,3 +392,21 @@ def test_keys_of_hashes_are_not_sent_to_the_driver(spark):
     c, p, j, s = dedup_tables(spark, [("source", hexes(rng, 64), h) for h in pool[:10]], batch)
     for f in (history_dedup.found, history_dedup.decisions):
         assert not [x for x in broadcasts(spark, lambda f=f: f(c, p, j, s).collect()) if "job_at" not in x]  # jobs are one row a job
+
+
+def test_bands_of_hashes_are_not_sent_to_the_driver(spark):
+    rng = random.Random(7)
+    pool = near_family(rng, 40)
+    p, c = overlap_tables(spark, [(f"c{i:03}", "train" if i % 2 else "val", hexes(rng, 64), hexes(rng, 64), rng.choice(pool)) for i in range(80)])
+    for f in (split_overlap.found, split_overlap.report):
+        assert not broadcasts(spark, lambda f=f: f(p, c).collect())
+
+
+@pytest.mark.parametrize("at_once", [1, 20_000, 10**9])
+def test_bands_in_several_runs_meet_the_same_pairs(spark, at_once):
+    values = sorted(set(near_family(random.Random(8), 200)))
+    train, evaluation = values[::2], values[1::2]
+    side = lambda some: spark.createDataFrame([(signed(v), i) for i, v in enumerate(some)], "value bigint, n bigint")
+    got = [tuple(r) for r in split_overlap._hash_bands(side(train), side(evaluation), at_once).collect()]
+    want = {(signed(a), signed(b), i, k) for i, a in enumerate(train) for k, b in enumerate(evaluation) if bin(a ^ b).count("1") <= 6}
+    assert len(want) > 50 and len(got) == len(set(got)) and set(got) == want
